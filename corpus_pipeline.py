@@ -8,28 +8,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, neardup
+from tidemark.llm import bpe, decontaminate, neardup, pii, quality
 from tidemark.llm.common import stored
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return neardup.drop_near_duplicates(docs)
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text."""
     return bpe.encode_digests(docs, bpe.default_vocabulary())
 
 
-STAGES = [("near duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]
+STAGES = [
+    ("quality classifier", good_quality),
+    ("near duplicates", one_of_each),
+    ("benchmark decontamination", without_leaks),
+    ("personal data", without_personal_data),
+    ("tokens", tokens),
+]
 
-#: The classifier, the near-duplicate groups and the tokens have no SQL; tests compare with plain Python.
+#: The classifier, the SimHash groups, the contexts and the tokens have no SQL; tests compare the
+#: stages with plain Python.
 ORACLE_SQL = None
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, neardup, url_filter
+from . import bpe, decontaminate, fingerprint, html_extract, neardup, pii, quality, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_bpe": bpe.op2_bpe,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_html_text": html_extract.op5_html_text,
+    "op6_pii": pii.op6_pii,
     "op7_fingerprints": fingerprint.op7_fingerprints,
     "op8_simhash_neardup": neardup.op8_simhash_neardup,
     "op10_url_filters": url_filter.op10_url_filters,
