@@ -138,10 +138,14 @@ def with_edits(docs: DataFrame) -> DataFrame:
     """
     docs = narrowed(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = next_ids(docs)
+    # Both joins want the texts by id, with the same filter and columns: Spark shuffles them once.
+    known = docs.where("doc_id is not null")
     piece = F.struct(F.expr("left(text, need)").alias("piece"), F.xxhash64("text").alias("next_key"))
-    donors = order.withColumnRenamed("doc_id", "asker").join(docs.withColumnRenamed("doc_id", "next_id"), "next_id")
+    order = order.withColumnRenamed("doc_id", "asker")
+    donors = order.join(known, order["next_id"] == known["doc_id"])
     donors = donors.groupBy("asker", "next_id").agg(F.min(piece).alias("d")).select("asker", "next_id", "d.piece", "d.next_key")
-    both = docs.join(donors, docs["doc_id"] == donors["asker"], "left")
+    both = known.join(donors, known["doc_id"] == donors["asker"], "left").drop("asker")
+    both = both.unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.coalesce(F.substring(F.col("piece"), F.lit(1), quarter), F.lit("")))
     return both.select("doc_id", F.xxhash64("text").alias("key"), "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "next_id", "next_key")
