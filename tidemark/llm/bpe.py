@@ -1,10 +1,11 @@
 """Byte-level BPE, encoded and decoded with a contiguous rank array.
 
-A word's part boundaries and the rank of each pair of neighbouring parts lie in two short lists.
-Encoding scans for the smallest rank (the leftmost of equals), deletes the boundary between its
-two parts and refreshes the two neighbouring ranks, until no pair has a rank. That is quadratic
-in a word's bytes, so words over ``SCAN_BYTES`` bytes take the same merges from a heap. Words
-repeat, so each worker keeps the ids of the words it met, up to ``CACHE_WORDS``.
+A word's parts (the token ids between its boundaries) and the rank of each pair of neighbouring
+parts lie in two short lists. Encoding scans for the smallest rank (the leftmost of equals),
+deletes the boundary between its two parts and refreshes the two neighbouring ranks, until no
+pair has a rank. That is quadratic in a word's bytes, so words over ``SCAN_BYTES`` bytes take the
+same merges from a heap. Words repeat, so each worker keeps the ids of the words it met, up to
+``CACHE_WORDS``.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -38,8 +40,11 @@ PATTERN = (
     rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{NEWER}]]+| ?[\p{{N}}--[{NEWER}]]+"
     rf"| ?(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|[{NEWER}])+|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+"
 )
+#: The same for texts within Latin-1, whose letters, digits and white space are spelt out.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 SCAN_BYTES = 96
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Longer words aren't kept.
 CACHE_CHARS = 64
 NO_RANK = 1 << 60
@@ -71,66 +76,69 @@ class ByteBpe:
         as_bytes = lambda s: bytes(symbols[c] for c in s)
         added = {x["content"]: x["id"] for x in known["added_tokens"]}
         self.ids = {as_bytes(s): i for s, i in known["model"]["vocab"].items() if s not in added}
-        merges = (m if isinstance(m, list) else m.split(" ") for m in known["model"]["merges"])
-        #: By the two parts: the rank of their merge. A pair has one rank, but a token can have several pairs.
-        self.ranks = {(as_bytes(a), as_bytes(b)): rank for rank, (a, b) in reversed(list(enumerate(merges)))}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in known["model"]["merges"]]
+        merges = [tuple(as_bytes(part) for part in m) for m in merges]
+        #: Rank of two token ids side by side (the first shifted), and by rank the id they become.
+        self.ranks = {self.ids[a] << 32 | self.ids[b]: rank for rank, (a, b) in reversed(list(enumerate(merges)))}
+        self.merged = [self.ids[a + b] for a, b in merges]
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.added = added
         self.bytes_of = [b""] * (1 + max([*self.ids.values(), *added.values()]))
         for token, i in self.ids.items():
             self.bytes_of[i] = token
         for token, i in added.items():
             self.bytes_of[i] = token.encode()
-        self.split = regex.compile(PATTERN)
+        self.split, self.split_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         longest_first = sorted(added, key=lambda s: (-len(s), s))
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if added else None
         self.cache: dict[str, bytes] = {}
 
-    def parts(self, word: bytes) -> list[bytes]:
-        """The word's tokens."""
+    def word_ids(self, word: bytes) -> list[int]:
+        """The ids of a word's tokens."""
+        ids = [self.byte_ids[b] for b in word]
         if len(word) > SCAN_BYTES:
-            return self._parts_by_heap(word)
-        bounds = list(range(len(word) + 1))
-        rank = lambda i: self.ranks.get((word[bounds[i] : bounds[i + 1]], word[bounds[i + 1] : bounds[i + 2]]), NO_RANK) if i + 2 < len(bounds) else NO_RANK
-        ranks = [rank(i) for i in range(len(word))]
+            return self._by_heap(ids)
+        get, merged = self.ranks.get, self.merged
+        ranks = [get(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:])]
         while ranks:
             least = min(ranks)
             if least == NO_RANK:
                 break
             i = ranks.index(least)
-            del bounds[i + 1], ranks[i + 1]
-            ranks[i] = rank(i)
+            ids[i] = merged[least]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank(i - 1)
-        return [word[a:b] for a, b in zip(bounds, bounds[1:])]
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], NO_RANK)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], NO_RANK)
+        return ids
 
-    def _parts_by_heap(self, word: bytes) -> list[bytes]:
+    def _by_heap(self, ids: list[int]) -> list[int]:
         """The same merges for long words: smallest rank first, the leftmost of equals."""
-        n = len(word)
-        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
-        alive = bytearray(b"\1" * n)
-        heap: list[tuple[int, int, int, int]] = []
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap: list[tuple[int, int]] = []
 
         def offer(i: int) -> None:
-            j = after[i]
-            if j >= 0 and (r := self.ranks.get((word[i : end[i]], word[j : end[j]]))) is not None:
-                heapq.heappush(heap, (r, i, end[i], end[j]))
+            if (j := after[i]) >= 0 and (rank := self.ranks.get(ids[i] << 32 | ids[j])) is not None:
+                heapq.heappush(heap, (rank, i))
 
         for i in range(n):
             offer(i)
         while heap:
-            _, i, mid, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] != mid or (j := after[i]) < 0 or end[j] != stop:
+            rank, i = heapq.heappop(heap)
+            if ids[i] < 0 or (j := after[i]) < 0 or self.ranks.get(ids[i] << 32 | ids[j]) != rank:
                 continue  # one of the two parts has changed since
-            end[i], alive[j], after[i] = stop, 0, after[j]
+            ids[i], ids[j], after[i] = self.merged[rank], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return [word[i : end[i]] for i in range(n) if alive[i]]
+        return [x for x in ids if x >= 0]
 
     def _packed(self, word: str) -> bytes:
-        ids = [self.ids[p] for p in self.parts(word.encode())]
+        ids = self.word_ids(word.encode())
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_WORDS:
@@ -142,11 +150,16 @@ class ByteBpe:
         """The ids of a text as little-endian unsigned 32-bit integers. Strings of added tokens in
         the text become their ids."""
         cache, out = self.cache, []
+        try:
+            text.encode("latin-1")
+            split = self.split_latin
+        except UnicodeEncodeError:
+            split = self.split
         for piece in self.special.split(text) if self.special else [text]:
             if piece in self.added:
                 out.append(struct.pack("<I", self.added[piece]))
                 continue
-            words = self.split.findall(piece)
+            words = split(piece)
             try:
                 out.append(b"".join(map(cache.__getitem__, words)))
             except KeyError:
