@@ -1 +1 @@
-"""Regime analytics on Spark."""
+"""Regime analytics on Spark: bars, trailing features, neighbours, density clusters, validation."""

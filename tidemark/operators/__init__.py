@@ -1 +1 @@
-
+"""Operators on bars, feature rows, neighbours, graphs and labels."""

@@ -1 +1 @@
-
+"""Readers, validation and writers of bars and results."""
