@@ -94,28 +94,29 @@ def pattern_groups(benchmark: DataFrame, size: int, limit: int) -> Iterator[list
     yield group
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, group_windows: int = GROUP_WINDOWS, keep_text: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, group_windows: int = GROUP_WINDOWS, keep_text: bool = False, names: tuple[str, str, str] = ("n_words", "hits", "items")) -> DataFrame:
     """doc_id with n_words, hits array<struct<first,end>> (disjoint word ranges inside any occurrence
     of a window, in order) and items array<string> (the items with occurring windows, distinct).
 
     Null and empty texts have no words; a benchmark without words finds nothing; of items whose
     item_id is null the words are hits, but they aren't listed. Repeated documents give repeated
-    rows, repeated items count once. keep_text: all columns of docs stay beside the three new ones,
-    which replace columns of these names; else only doc_id stays.
+    rows, repeated items count once. keep_text: all columns of docs stay beside the three new ones
+    (called names), which replace columns of these names; else only doc_id stays.
     """
-    found = narrowed(docs, "doc_id", "text") if not keep_text else docs.drop("n_words", "hits", "items")
-    names = found.columns
-    found = found.select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,end:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    found = narrowed(docs, "doc_id", "text") if not keep_text else docs.drop(*names)
+    kept = found.columns if keep_text else ["doc_id"]
+    kinds = ("0L", "cast(array() as array<struct<first:int,end:int>>)", "cast(array() as array<string>)")
+    found = found.select("*", *[F.expr(e).alias(c) for c, e in zip(names, kinds)])
     sc, passes = docs.sparkSession.sparkContext, 0
     for group in pattern_groups(benchmark, size, group_windows):
         if passes:
             found = stored(found, "leaks")
-        found = _one_pass(found, sc.broadcast([WuManber(m, p) for m, p in sorted(windows_of(group, size).items())]))
+        found = _one_pass(found, sc.broadcast([WuManber(m, p) for m, p in sorted(windows_of(group, size).items())]), names)
         passes += 1
-    return found.select(*(names if keep_text else ["doc_id"]), "n_words", "hits", "items")
+    return found.select(*kept, *names)
 
 
-def _one_pass(found: DataFrame, searches) -> DataFrame:
+def _one_pass(found: DataFrame, searches, names: tuple[str, str, str]) -> DataFrame:
     ranges = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
     at = {c: i for i, c in enumerate(found.columns)}
 
@@ -123,7 +124,7 @@ def _one_pass(found: DataFrame, searches) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 n_words, hits, items = [], [], []
-                for text, old, known in zip(part.column(at["text"]), part.column(at["hits"]), part.column(at["items"])):
+                for text, old, known in zip(part.column(at["text"]), part.column(at[names[1]]), part.column(at[names[2]])):
                     words = words_of(text.as_py())
                     spans = [(x["first"], x["end"]) for x in old.as_py()]
                     ids = set(known.as_py())
@@ -135,7 +136,7 @@ def _one_pass(found: DataFrame, searches) -> DataFrame:
                     n_words.append(len(words))
                     hits.append([{"first": a, "end": b} for a, b in merged(spans)])
                     items.append(sorted(ids))
-                new = {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, ranges), "items": pa.array(items, pa.list_(pa.string()))}
+                new = dict(zip(names, (pa.array(n_words, pa.int64()), pa.array(hits, ranges), pa.array(items, pa.list_(pa.string())))))
                 yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for c, i in at.items()], names=list(at))
 
     return found.mapInArrow(run, found.schema)
@@ -154,7 +155,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark window, with the columns of docs."""
-    return find_leaks(docs, benchmark, keep_text=True).where(F.size("hits") == 0).select(*docs.columns)
+    found = find_leaks(docs, benchmark, keep_text=True, names=("_leak_words", "_leak_hits", "_leak_items"))
+    return found.where(F.size("_leak_hits") == 0).select(*docs.columns)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ def fingerprint_documents(docs: DataFrame, query_step: int = 100, radius: int =
     of other rows whose fingerprint is within radius (null for other ids).
 
     Null and empty texts have the fingerprint 0. Equal rows have equal results. A null id has no
-    next document: its near_next is null. An empty table gives an empty table; columns but doc_id
+    next document: its near_next is 0. An empty table gives an empty table; columns but doc_id
     and text are ignored.
     """
     pairs = with_edits(docs).select("doc_id", "key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_id", "next_key", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"))

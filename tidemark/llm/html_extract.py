@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,7 +55,7 @@ class Block:
     density: float = 0.0
 
 
-def hint(name: str, attributes: str, inside: list[tuple[str, int]]) -> int | None:
+def hint(name: str, attributes: str, in_article: bool) -> int | None:
     """What a container says of its text; None: nothing of its own. -2 holds for all inside it."""
     words: set[str] = set()
     if "=" in attributes:
@@ -62,7 +63,6 @@ def hint(name: str, attributes: str, inside: list[tuple[str, int]]) -> int | Non
             words.update(re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()))
     if words & COMMENT_WORDS:
         return -2
-    in_article = any(h == 1 for _, h in inside)
     if name in FURNITURE_TAGS or name == "header" and not in_article:
         return -1
     if name in ("article", "main"):
@@ -78,7 +78,9 @@ def blocks_of(page: str | None) -> list[Block]:
     """The page's flat text blocks in order, without empty ones."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []
+    # Of open containers: the name, what they and those around them say, whether one is an article.
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    opened: Counter = Counter()
     now, link, at, n = Block(), False, 0, len(page)
 
     def add(text: str) -> None:
@@ -94,10 +96,17 @@ def blocks_of(page: str | None) -> list[Block]:
             now.text, now.words = text, text.count(" ") + 1
             now.density = len("".join("".join(now.linked).split())) / len(text.replace(" ", ""))
             out.append(now)
-        telling = next((h for _, h in reversed(stack) if h), 0)
-        if any(h == -2 for _, h in stack):
-            telling = -1
-        return Block(container=telling, item=any(t == "li" for t, _ in stack[-2:]))
+        return Block(container=max(-1, stack[-1][1]), item=any(x[0] == "li" for x in stack[-2:]))
+
+    def push(name: str, attributes: str) -> None:
+        _, around, in_article = stack[-1]
+        own = hint(name, attributes, in_article)
+        stack.append((name, -2 if around == -2 else around if own is None else own, in_article or own == 1))
+        opened[name] += 1
+
+    def pop() -> str:
+        opened[stack[-1][0]] -= 1
+        return stack.pop()[0]
 
     while at < n:
         m = TAG.search(page, at)
@@ -113,9 +122,9 @@ def blocks_of(page: str | None) -> list[Block]:
             if name == "a":
                 link = False
             elif name in CONTAINERS:
-                if any(t == name for t, _ in stack):
+                if opened[name]:
                     now.item |= name == "li"
-                    while stack.pop()[0] != name:
+                    while pop() != name:
                         pass
                     link = False
                 now = close()
@@ -132,10 +141,10 @@ def blocks_of(page: str | None) -> list[Block]:
         elif name in ("br", "td", "th"):
             add(" ")
         elif name in BLOCKS or name in CONTAINERS:
-            if name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()  # its end tag may be left out
+            if name == "li" and stack[-1][0] == "li":
+                pop()  # its end tag may be left out
             if name in CONTAINERS:
-                stack.append((name, hint(name, m["attributes"], stack) or 0))
+                push(name, m["attributes"])
                 link = False
             now = close()
             now.heading = name[0] == "h" and name[1:].isdigit()

@@ -84,7 +84,6 @@ def context(text: str, start: int) -> str:
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[tuple[str, ...], int, int]]:
     """(possible kinds, start, end) of looser forms that overlap no base span nor each other."""
-    taken = sorted((a, b) for _, a, b in base)
     found = []
     for m in NUMBER.finditer(text):
         n = sum(c.isdigit() for c in m[0])
@@ -94,11 +93,19 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[tuple[
         found += [(("ip",), *m.span()) for m in IPV6.finditer(text)]
     if "@" in text or "at]" in text or "at)" in text:
         found += [(("email",), *m.span()) for m in AT_WORD.finditer(text)]
-    out = []
+    taken: list[list[int]] = []  # base spans, merged
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    out, after, at = [], 0, 0
     for kinds, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
-        if not any(a < d and c < b for c, d in taken):
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if a >= after and (at == len(taken) or b <= taken[at][0]):
             out.append((kinds, a, b))
-            taken.append((a, b))
+            after = b
     return out
 
 
@@ -149,20 +156,20 @@ def seeds_known(edges: DataFrame) -> DataFrame:
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find_spans(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+def find_spans(docs: DataFrame, patterns: DataFrame | None = None, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
     """docs with base and spans, arrays of (kind, start, end), kinds in the order of KINDS, then by
     start; spans are the base spans and what patterns (default: learnt from docs) discover.
 
     Null and empty texts have none. Repeated rows stay repeated, an empty table stays empty;
-    columns named base or spans are replaced.
+    columns with the new columns' names are replaced.
     """
     patterns = learn_patterns(docs) if patterns is None else patterns
-    found = docs.drop("base", "spans").select("*", *[F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)").alias(c) for c in ("base", "spans")])
+    found = docs.drop(*names).select("*", *[F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)").alias(c) for c in names])
     passes = 0
     for known in pattern_groups(patterns):
         if passes:
             found = stored(found, "spans")
-        found = _one_pass(found, docs.sparkSession.sparkContext.broadcast(known), passes == 0)
+        found = _one_pass(found, docs.sparkSession.sparkContext.broadcast(known), passes == 0, names)
         passes += 1
     return found
 
@@ -178,7 +185,7 @@ def pattern_groups(patterns: DataFrame) -> Iterator[frozenset]:
     yield frozenset(group)
 
 
-def _one_pass(found: DataFrame, known, first: bool) -> DataFrame:
+def _one_pass(found: DataFrame, known, first: bool, names: tuple[str, str]) -> DataFrame:
     at = {c: i for i, c in enumerate(found.columns)}
     order = {k: i for i, k in enumerate(KINDS)}
 
@@ -186,17 +193,18 @@ def _one_pass(found: DataFrame, known, first: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 bases, spans = [], []
-                for text, old in zip(part.column(at["text"]), part.column(at["spans"])):
+                for text, old in zip(part.column(at["text"]), part.column(at[names[1]])):
                     text = text.as_py() or ""
                     base = base_spans(text)
                     every = list(base) if first else [(x["kind"], x["start"], x["end"]) for x in old.as_py()]
                     if known.value:
+                        marked = {(a, b) for _, a, b in every}  # by an earlier pass: candidates don't overlap each other
                         for kinds, a, b in candidates(text, base):
-                            if (kind := next((k for k in kinds if (k, context(text, a)) in known.value), None)) and not any(a < d and c < b for _, c, d in every):
+                            if (kind := next((k for k in kinds if (k, context(text, a)) in known.value), None)) and (a, b) not in marked:
                                 every.append((kind, a, b))
                     bases.append(as_rows(base))
                     spans.append(as_rows(sorted(every, key=lambda x: (order[x[0]], x[1]))))
-                new = {"base": pa.array(bases, SPANS), "spans": pa.array(spans, SPANS)}
+                new = {names[0]: pa.array(bases, SPANS), names[1]: pa.array(spans, SPANS)}
                 yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for c, i in at.items()], names=list(at))
 
     return found.mapInArrow(run, found.schema)
@@ -209,14 +217,14 @@ def as_rows(spans: list[tuple[str, int, int]]) -> list[dict]:
 def redact(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets, like [EMAIL], and n_chars
     (if there) counted anew. Of spans that overlap the first, longest one is replaced whole."""
-    found = find_spans(docs, patterns)
+    found = find_spans(docs, patterns, ("_base_spans", "_all_spans"))
     at = {c: i for i, c in enumerate(found.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 texts = []
-                for text, spans in zip(part.column(at["text"]), part.column(at["spans"])):
+                for text, spans in zip(part.column(at["text"]), part.column(at["_all_spans"])):
                     text, out, end = text.as_py(), [], 0
                     for x in sorted(spans.as_py(), key=lambda x: (x["start"], -x["end"])):
                         if x["start"] >= end:

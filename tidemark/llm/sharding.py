@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import fresh_path
 
 TARGET_BYTES, ARRIVAL_ROWS = 64 << 20, 2000
 FAN_IN, BASE_BYTES = 4, 1 << 20
@@ -216,7 +216,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through a store: doc_id and digest of the text as the compacted shards have
     them, and whether the shard is within the target size."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    store = compacted(docs, f"{shared_dir(spark)}/tidemark/shards-{uuid.uuid4().hex}")
+    store = compacted(docs, fresh_path(spark, "shards"))
     found = store.read().select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.col("_metadata.file_size").alias("bytes"))
     return found.select("doc_id", "text_sha256", (F.col("bytes") <= 2 * TARGET_BYTES).alias("within_target"))
 
