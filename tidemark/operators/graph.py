@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir
 from .knn import BLOCK_ROWS, CELLS, matrix, squared
 
 EDGES = "series_id string, a int, b int, w double"
@@ -88,9 +89,7 @@ def edge_table(series: str, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> pa.T
 
 def round_table(df: DataFrame, name: str) -> DataFrame:
     """df as a stored table in the folder that the cluster shares, or a temporary one in tests."""
-    from ..sources.storage import shared_dir
-
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/tidemark/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
