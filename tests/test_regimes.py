@@ -236,3 +236,51 @@ def test_pipeline_and_command_line(spark, tmp_path, capsys):
     assert "recall" in capsys.readouterr().out
     assert cli.main(["neighbors", path, "--date", "2031-03-01"], spark) == 1
     assert cli.main(["nonsense"], spark) == 2
+
+
+def top_down(rows, edges, birth, least):
+    """(stability, label groups) of a cluster by cutting its tree's longest edge again and again."""
+    left, stability = set(rows), 0.0
+    while True:
+        inside = [e for e in edges if e[0] in left and e[1] in left]
+        if not inside:
+            return stability, None
+        w, a, b = max((w, a, b) for a, b, w in inside)
+        near = {i: [] for i in left}
+        for x, y, v in inside:
+            if (v, x, y) != (w, a, b):
+                near[x].append(y)
+                near[y].append(x)
+        side, stack = {a}, [a]
+        while stack:
+            for y in near[stack.pop()]:
+                if y not in side:
+                    side.add(y)
+                    stack.append(y)
+        other, density = left - side, 1 / w
+        if len(side) >= least and len(other) >= least:
+            stability += (density - birth) * len(left)
+            below = []
+            for part in (side, other):
+                own, groups = top_down(part, edges, density, least)
+                best = sum(s for s, _ in groups) if groups else 0.0
+                below += groups if groups and best > own else [(own, part)]
+            return stability, below
+        for part in (side, other):
+            if len(part) < least:
+                stability += (density - birth) * len(part)
+                left = left - part
+        if not left:
+            return stability, None
+
+
+@pytest.mark.parametrize("p, m, least", [(40, 20, 8), (25, 25, 5), (50, 0, 10), (30, 40, 4)])
+def test_labels_equal_a_top_down_definition(p, m, least):
+    x = np.array(blobs(p, m, seed=p))
+    edges = graph.prim(x, np.zeros(len(x)), 1)
+    labels, stability = hdbscan.labels_of(len(x), edges, least)
+    groups = top_down(set(range(len(x))), edges, 0.0, least)[1] or []
+    got = {frozenset(np.flatnonzero(labels == k).tolist()): stability[labels == k][0] for k in set(labels.tolist()) - {-1}}
+    assert got.keys() == {frozenset(g) for _, g in groups}
+    for s, g in groups:
+        assert got[frozenset(g)] == pytest.approx(s, rel=1e-9)

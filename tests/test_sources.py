@@ -6,6 +6,7 @@ from fixtures import bars, walk
 from tidemark.operators.features import compute_features
 from tidemark.schema import OHLCV, FeatureParams
 from tidemark.sources import bars as B
+from tidemark.sources import download as D
 from tidemark.sources import sinks
 
 HEAD = ",".join(OHLCV)
@@ -81,3 +82,25 @@ def test_sinks(spark, tmp_path):
     labels = rows.selectExpr("series_id", "row", "row % 2 as label")
     blob = json.loads(sinks.chart_json(b, rows, labels, labels, columns).first()["json"])
     assert blob["offset"] == 20 and len(blob["dates"]) == 40 and len(blob["features"]) == 20 and blob["fine"][:3] == [0, 1, 0]
+
+
+def test_download_goes_back_waits_and_merges(spark):
+    every = [(f"2024-01-{d:02d}", "10", "11", "9", str(10 + d / 10), "5") for d in range(1, 24)]
+    refusals, waits = [2], []
+
+    def fetch(end, limit):
+        if refusals[0]:
+            refusals[0] -= 1
+            raise D.Busy()
+        upto = [b for b in every if end is None or b[0] <= end]
+        return upto[-limit:]
+
+    got = D.download(spark, fetch, limit=6, wait=waits.append).orderBy("day").collect()
+    assert [str(r["date"]) for r in got] == [b[0] for b in every] and waits == [1.0, 2.0]
+    refusals[0] = 99
+    with pytest.raises(D.Busy):
+        list(D.chunks(fetch, 6, wait=waits.append))
+    with pytest.raises(B.ContractError, match="isn't positive"):
+        D.download(spark, lambda end, limit: [("2024-01-01", "1", "1", "1", "-1", "0")])
+    with pytest.raises(B.ContractError, match="nothing"):
+        D.download(spark, lambda end, limit: [])

@@ -132,6 +132,16 @@ SQL = {
     "forward_vol": query("following", select=f"SELECT label, n, {r('mean_vol', 'median_vol')} FROM following"),
     "regime_report": query("lasting", "recurring", "following", select=f"SELECT l.label AS label, l.n_days AS n_days, CAST(n_runs AS BIGINT) AS n_runs, {r('mean_run')}, CAST(n_episodes AS BIGINT) AS n_episodes, first_row, last_row, f.n AS n, {r('mean_vol', 'median_vol')} FROM lasting l LEFT JOIN recurring r ON r.label = l.label LEFT JOIN following f ON f.label = l.label"),
     "event_overlap": query("episodes", select=f"SELECT label, episode, first_date, last_date, (SELECT arg_min(event, n) FROM (VALUES {EVENT_ROWS}) v(n, event, a, b) WHERE a <= last_date AND b >= first_date) AS event FROM episodes"),
+    "close_range": query("bars", select="SELECT round(min(close), 6) AS low, round(max(close), 6) AS high FROM bars"),
+    "momentum_by_series": """WITH b AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS date, arg_max(o_totalprice, o_orderkey) AS close FROM orders GROUP BY ALL),
+      d AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS day, ln(close / lag(close) OVER (PARTITION BY series ORDER BY date)) AS ret FROM b),
+      w AS (SELECT series, day, date, sum(ret) OVER t AS momentum, stddev_samp(ret) OVER t AS realized_vol FROM d WINDOW t AS (PARTITION BY series ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+      SELECT series, day - 20 AS row, date, round(momentum, 6) AS momentum, round(realized_vol, 6) AS realized_vol FROM w WHERE day >= 20""",
+    "lookup_on_date": query("rows4", select=f"SELECT row, day, date, {r(*F4)} FROM rows4 WHERE date = DATE '1998-06-02'"),
+    "neighbor_table": query("near", "rows4", select="SELECT n.row AS index, a.date AS date, rank, neighbor_row AS neighbor_index, b.date AS neighbor_date, round(n.dist, 6) AS distance FROM near n JOIN rows4 a ON a.row = n.row JOIN rows4 b ON b.row = neighbor_row WHERE rank <= 3"),
+    "label_table": query("proxy", select="SELECT row AS index, date, label FROM proxy"),
+    "distinct_labels": query("proxy", select="SELECT DISTINCT label FROM proxy WHERE label >= 0"),
+    "label_counts": query("proxy", select="SELECT count(*) AS n_rows, count(DISTINCT label) FILTER (label >= 0) AS n_clusters, count(*) FILTER (label < 0) AS n_noise, round(count(*) FILTER (label < 0) / count(*), 6) AS noise_share FROM proxy"),
     "named_labels": query("proxy", select="SELECT CASE label WHEN 0 THEN 'calm' WHEN 1 THEN 'restless' ELSE '-1' END AS name, count(*) AS n_days FROM proxy GROUP BY 1"),
     "ari": query("vector_near", select="""SELECT round((s - sa * sb / t) / ((sa + sb) / 2 - sa * sb / t), 6) AS ari FROM
       (SELECT sum(n * (n - 1) / 2) AS s, sum(n) * (sum(n) - 1) / 2 AS t FROM (SELECT count(*) AS n FROM vector_near WHERE rank = 1 GROUP BY label, other)),

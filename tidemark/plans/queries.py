@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features, graph, hdbscan, knn, standardize, validate
 from ..schema import OHLCV, ClusterParams, FeatureParams
 from ..sources import bars as B
+from ..sources import sinks
 from . import pipeline
 
 D4, D5 = FeatureParams(), FeatureParams(include_volume=True)
@@ -119,6 +120,49 @@ def volume_by_year(spark, sf_dir):
     return rounded(standardize.volume_by_year(bars(spark, sf_dir)))
 
 
+def close_range(spark, sf_dir):
+    """The axis of a chart: lowest and highest close of each series."""
+    return rounded(bars(spark, sf_dir).groupBy("series_id").agg(F.min("close").alias("low"), F.max("close").alias("high")))
+
+
+def momentum_by_series(spark, sf_dir):
+    """A series for each order priority: their windows run side by side."""
+    split = B.bars_from_orders(table(spark, sf_dir, "orders"), F.col("o_orderpriority"))
+    return rounded(features.compute_features(split, D4).withColumn("series", F.col("series_id")).select("series", "row", "date", "momentum", "realized_vol"))
+
+
+def lookup_on_date(spark, sf_dir):
+    """The feature row of one day."""
+    return rounded(features.find_row(rows4(spark, sf_dir), "1998-06-02"))
+
+
+def neighbor_table(spark, sf_dir):
+    """The neighbour file: index, date, rank, neighbour's index and date, distance."""
+    found = knn.knn(points4(spark, sf_dir), D4.columns, 3)
+    return rounded(sinks.neighbors_csv(found, rows4(spark, sf_dir)))
+
+
+def label_table(spark, sf_dir):
+    """The label file of the proxy labels: index, date, label."""
+    return rounded(sinks.labels_csv(proxy(spark, sf_dir)))
+
+
+def distinct_labels(spark, sf_dir):
+    """Labels that occur, without noise."""
+    return rounded(proxy(spark, sf_dir).where("label >= 0").select("label").distinct())
+
+
+def label_counts(spark, sf_dir):
+    """Rows, clusters and share of noise of the proxy labels."""
+    return rounded(validate.counts(proxy(spark, sf_dir)))
+
+
+def chart_json(spark, sf_dir):
+    """The chart's JSON with the proxy labels in both resolutions."""
+    labels = proxy(spark, sf_dir)
+    return sinks.chart_json(bars(spark, sf_dir), rows4(spark, sf_dir), labels, labels, D4.columns).drop("series_id")
+
+
 def knn_exact(spark, sf_dir):
     return rounded(knn.knn(points4(spark, sf_dir), D4.columns, 10))
 
@@ -288,5 +332,6 @@ QUERIES = {
         bars_daily, log_returns, ohlcv_violations, merge_dedupe, history_depth, features_d4, features_d5, features_warmup251, zscore_params, zscore_apply, robust_params, robust_apply, feature_corr,
         feature_spread, volume_by_year, knn_exact, knn_external, knn_on_date, knn_stress_days, next_day_lookup, knn_blocked_w20, knn_embeddings, core_distance, knn_edges_sym, mutual_reach, mst_exact, mst_rounds,
         mst_all, mst_substrate, hdbscan_labels, hdbscan_stability, cluster_counts, persistence, recurrence, episodes, forward_vol, regime_report, event_overlap, named_labels, ari, ann_recall,
+        close_range, momentum_by_series, lookup_on_date, neighbor_table, label_table, distinct_labels, label_counts, chart_json,
     )
 } | {f"{c}_{n}": one_feature(c) for c, n in (("realized_vol", 20), ("momentum", 20), ("max_drawdown", 20), ("skewness", 20), ("rel_volume", 252))}
