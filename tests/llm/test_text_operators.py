@@ -239,6 +239,16 @@ def test_contexts_discover_what_forms_miss(spark):
     assert all(s["kind"] == "phone" and s["end"] == 31 for r in pii.find_spans(copies).collect() for s in r["spans"])
 
 
+def test_many_patterns_take_several_passes(spark, monkeypatch):
+    patterns = spark.createDataFrame([("phone", "office phone"), ("email", "write to"), ("card", "card number")], "kind string, pattern string")
+    docs = documents(spark, ["my office phone 555-010-7777, please write to me(at)home now, the card number 1234 5678 9012 3456 a@b.cd", None])
+    one = pii.redact(docs, patterns).collect()
+    monkeypatch.setattr(pii, "PASS_PATTERNS", 1)
+    assert pii.redact(docs, patterns).collect() == one
+    assert one[0]["text"] == "my office phone [PHONE], please write to [EMAIL] now, the card number [CARD] [EMAIL]"
+    assert one[0]["score"] == "kept"
+
+
 def test_privacy_edges(spark):
     docs = documents(spark, ODD + ["a@b.cd and 1.2.3.4"])
     assert pii.find_spans(docs).count() == len(ODD) + 1

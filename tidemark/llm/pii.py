@@ -156,21 +156,29 @@ def seeds_known(edges: DataFrame) -> DataFrame:
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find_spans(docs: DataFrame, patterns: DataFrame | None = None, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+def find_spans(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """docs with base and spans, arrays of (kind, start, end), kinds in the order of KINDS, then by
     start; spans are the base spans and what patterns (default: learnt from docs) discover.
 
     Null and empty texts have none. Repeated rows stay repeated, an empty table stays empty;
-    columns with the new columns' names are replaced.
+    columns named base or spans are replaced.
     """
+    return _marked(docs, patterns, ("base", "spans"), rewrite=False)
+
+
+def _marked(docs: DataFrame, patterns: DataFrame | None, names: tuple[str, str], rewrite: bool) -> DataFrame:
+    """docs with base and all spans in columns called names. One pass over the texts for each group of
+    patterns; with rewrite the last one also replaces the spans in the text."""
     patterns = learn_patterns(docs) if patterns is None else patterns
     found = docs.drop(*names).select("*", *[F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)").alias(c) for c in names])
-    passes = 0
-    for known in pattern_groups(patterns):
-        if passes:
+    groups, first = pattern_groups(patterns), True
+    known = next(groups)
+    while known is not None:
+        following = next(groups, None)
+        found = _one_pass(found, docs.sparkSession.sparkContext.broadcast(known), names, first, rewrite and following is None)
+        if following is not None:
             found = stored(found, "spans")
-        found = _one_pass(found, docs.sparkSession.sparkContext.broadcast(known), passes == 0, names)
-        passes += 1
+        known, first = following, False
     return found
 
 
@@ -185,16 +193,17 @@ def pattern_groups(patterns: DataFrame) -> Iterator[frozenset]:
     yield frozenset(group)
 
 
-def _one_pass(found: DataFrame, known, first: bool, names: tuple[str, str]) -> DataFrame:
+def _one_pass(found: DataFrame, known, names: tuple[str, str], first: bool, rewrite: bool) -> DataFrame:
     at = {c: i for i, c in enumerate(found.columns)}
     order = {k: i for i, k in enumerate(KINDS)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                bases, spans = [], []
+                bases, spans, texts = [], [], []
                 for text, old in zip(part.column(at["text"]), part.column(at[names[1]])):
-                    text = text.as_py() or ""
+                    whole = text.as_py()
+                    text = whole or ""
                     base = base_spans(text)
                     every = list(base) if first else [(x["kind"], x["start"], x["end"]) for x in old.as_py()]
                     if known.value:
@@ -204,39 +213,33 @@ def _one_pass(found: DataFrame, known, first: bool, names: tuple[str, str]) -> D
                                 every.append((kind, a, b))
                     bases.append(as_rows(base))
                     spans.append(as_rows(sorted(every, key=lambda x: (order[x[0]], x[1]))))
-                new = {names[0]: pa.array(bases, SPANS), names[1]: pa.array(spans, SPANS)}
+                    if rewrite:
+                        texts.append(None if whole is None else replaced(text, every))
+                new = {names[0]: pa.array(bases, SPANS), names[1]: pa.array(spans, SPANS)} | ({"text": pa.array(texts, pa.string())} if rewrite else {})
                 yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for c, i in at.items()], names=list(at))
 
     return found.mapInArrow(run, found.schema)
 
 
+def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with each span as its kind in brackets; of spans that overlap the first, longest one
+    gives the kind and all are gone."""
+    out, end = [], 0
+    for kind, start, stop in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if start >= end:
+            out += [text[end:start], f"[{kind.upper()}]"]
+        end = max(end, stop)
+    return "".join(out) + text[end:]
+
+
 def as_rows(spans: list[tuple[str, int, int]]) -> list[dict]:
     return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
 
 def redact(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets, like [EMAIL], and n_chars
-    (if there) counted anew. Of spans that overlap the first, longest one is replaced whole."""
-    found = find_spans(docs, patterns, ("_base_spans", "_all_spans"))
-    at = {c: i for i, c in enumerate(found.columns)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                texts = []
-                for text, spans in zip(part.column(at["text"]), part.column(at["_all_spans"])):
-                    text, out, end = text.as_py(), [], 0
-                    for x in sorted(spans.as_py(), key=lambda x: (x["start"], -x["end"])):
-                        if x["start"] >= end:
-                            out += [text[end : x["start"]], f"[{x['kind'].upper()}]"]
-                        elif x["end"] <= end:
-                            continue
-                        end = x["end"]
-                    texts.append(None if text is None else "".join(out) + text[end:])
-                new = {"text": pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for c, i in at.items()], names=list(at))
-
-    clean = found.mapInArrow(run, found.schema)
+    (if there) counted anew."""
+    clean = _marked(docs, patterns, ("_base_spans", "_all_spans"), rewrite=True)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
