@@ -80,7 +80,14 @@ def test_sinks(spark, tmp_path):
     part = next((tmp_path / "b").glob("part-*.csv"))
     assert B.read_ohlcv_csv(spark, str(part)).count() == 40
     labels = rows.selectExpr("series_id", "row", "row % 2 as label")
-    blob = json.loads(sinks.chart_json(b, rows, labels, labels, columns).first()["json"])
+    charts = sinks.chart_json(b, rows, labels, labels, columns)
+    blob = json.loads(charts.first()["json"])
+    page = sinks.chart_pages(charts, "<script>x = @@;</script>", "@@").first()["html"]
+    assert json.loads(page.removeprefix("<script>x = ").removesuffix(";</script>")) == blob
+    with pytest.raises(ValueError):
+        sinks.chart_pages(charts, "nothing", "@@")
+    with pytest.raises(Exception, match="no label"):
+        sinks.chart_json(b, rows, labels.limit(3), labels, columns).collect()
     assert blob["offset"] == 20 and len(blob["dates"]) == 40 and len(blob["features"]) == 20 and blob["fine"][:3] == [0, 1, 0]
 
 

@@ -49,3 +49,12 @@ def chart_json(bars: DataFrame, features: DataFrame, fine: DataFrame, coarse: Da
         F.transform("f", lambda x: x["f"]).alias("features"), F.transform("f", lambda x: x["fine"]).alias("fine"), F.transform("f", lambda x: x["coarse"]).alias("coarse"),
     )
     return whole.join(rows, "series_id").select("series_id", F.to_json(blob).alias("json"))
+
+
+def chart_pages(charts: DataFrame, template: str, mark: str) -> DataFrame:
+    """series_id and html: the template with each series' JSON at mark. ``</`` is escaped, so that no
+    text can end the script that holds the JSON."""
+    if template.count(mark) != 1:
+        raise ValueError(f"the template has to have {mark!r} once")
+    before, after = template.split(mark)
+    return charts.select("series_id", F.concat(F.lit(before), F.replace("json", F.lit("</"), F.lit("<\\/")), F.lit(after)).alias("html"))
