@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import narrowed, slices
+from .common import map_batches, narrowed, slices
 
 #: Letters and digits that Unicode has got since version 16, which is the tokenizers
 #: library's; there they're neither.
@@ -44,7 +44,7 @@ PATTERN = (
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 SCAN_BYTES = 96
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Longer words aren't kept.
 CACHE_CHARS = 64
 NO_RANK = 1 << 60
@@ -236,7 +236,7 @@ def _encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, diges
                     out, names = [pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.string())], ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *out], names=[id_col, *names])
 
-    return docs.mapInArrow(run, f"`{id_col}` {kind}, {columns}")
+    return map_batches(docs, run, f"`{id_col}` {kind}, {columns}")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
