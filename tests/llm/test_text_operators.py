@@ -183,6 +183,11 @@ def test_tree_fits_its_table():
     assert html_extract.main_text(held).endswith("\nShort.") and "Other" not in html_extract.main_text(held)
 
 
+def test_paragraphs_can_say_that_they_are_furniture():
+    page = "<body><main><p>The text of the page goes here and on.</p><p class='cookie-notice'>We use cookies.</p><div hidden><p>Unseen words.</p></div><div style='color:red; display: none'>Nor these.</div><p id=ad-1>Buy now.<p>The end.<h2 class=comments-title>Three comments</h2><div id='comments'><article><p>First!</p></article></div></main>"
+    assert html_extract.main_text(page) == "The text of the page goes here and on.\nThe end."
+
+
 def test_extract_edges(spark):
     pages = [None, "", "<", "<<<>>>", "<p", "<script>x", "<!-- never closed", "<p>" * 5000, "a" * 100_000, "<a href='x" * 3000, "</div></div>x", "&am &lt;b&gt; &#x110000; &bogus;"]
     df = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate(pages)], "page_id long, url string, html string, text string")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import narrowed, slices
+from .common import map_batches, narrowed, slices
 
 TAG = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*>?"
@@ -27,6 +27,8 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Attributes of elements that aren't shown.
+UNSEEN = re.compile(r"(?<![-\w])hidden(?![-\w])(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none", re.I)
 #: HTML's elements whose text isn't shown as running text, block-level elements, and containers.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video textarea select button title".split())
 BLOCKS = frozenset(
@@ -35,7 +37,7 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure footer form header li main menu nav ol search section table ul td".split())
 FURNITURE_TAGS = frozenset("nav aside footer form menu dialog search fieldset".split())
 FURNITURE_WORDS = frozenset(
-    "nav navbar navigation menu header masthead footer sidebar side aside ad ads adv advert adverts advertisement advertising banner promo promoted sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup social share sharing related recommended breadcrumb breadcrumbs toolbar widget login search form pagination pager contentinfo complementary".split()
+    "nav navbar navigation menu header masthead footer sidebar side aside ad ads adv advert adverts advertisement advertising banner promo promoted sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup social share sharing related recommended trending popular breadcrumb breadcrumbs toolbar topbar widget login search form pagination pager announcement paywall disclaimer contentinfo complementary".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 ARTICLE_WORDS = frozenset("article post entry content story main articlebody".split())
@@ -58,9 +60,11 @@ class Block:
 def hint(name: str, attributes: str, in_article: bool) -> int | None:
     """What a container says of its text; None: nothing of its own. -2 holds for all inside it."""
     words: set[str] = set()
-    if "=" in attributes:
+    if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             words.update(re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()))
+        if UNSEEN.search(attributes):
+            return -2
     if words & COMMENT_WORDS:
         return -2
     if name in FURNITURE_TAGS or name == "header" and not in_article:
@@ -148,6 +152,8 @@ def blocks_of(page: str | None) -> list[Block]:
                 link = False
             now = close()
             now.heading = name[0] == "h" and name[1:].isdigit()
+            if name not in CONTAINERS and m["attributes"] and (hint(name, m["attributes"], True) or 0) < 0:
+                now.container = -1  # a paragraph or heading that says itself what it is
     close()
     return out
 
@@ -250,7 +256,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h.as_py()) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.mapInArrow(run, f"{kinds}, text string, n_chars bigint")
+    return map_batches(pages, run, f"{kinds}, text string, n_chars bigint")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
