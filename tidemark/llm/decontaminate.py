@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrowed, slices, stored
+from .common import map_batches, narrowed, slices, stored
 
 WINDOW = 10
 #: Windows in one group of patterns (about 1 kB each in a worker).
@@ -139,7 +139,7 @@ def _one_pass(found: DataFrame, searches, names: tuple[str, str, str]) -> DataFr
                 new = dict(zip(names, (pa.array(n_words, pa.int64()), pa.array(hits, ranges), pa.array(items, pa.list_(pa.string())))))
                 yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for c, i in at.items()], names=list(at))
 
-    return found.mapInArrow(run, found.schema)
+    return map_batches(found, run, found.schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

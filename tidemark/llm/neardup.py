@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrowed, slices, stored
+from .common import map_batches, narrowed, slices, stored
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fp = pa.array([signed(simhash(t.as_py())) for t in part.column(1)], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), fp], names=["doc_id", "fp"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 class Golay:
@@ -202,7 +202,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, slice_rows: int = SLICE_RO
             yield pa.RecordBatch.from_arrays([pa.array(home_of(batch.column(0).to_numpy()))], names=["anchor"])
 
     # Fewer than 60,000 anchors can have more than a 60,000th of the rows at home.
-    large = fps.mapInArrow(homes, "anchor bigint").groupBy("anchor").count().where(F.col("count") > slice_rows).collect()
+    large = map_batches(fps, homes, "anchor bigint").groupBy("anchor").count().where(F.col("count") > slice_rows).collect()
     split = sc.broadcast({r["anchor"]: -(-r["count"] // slice_rows) for r in large})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +238,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, slice_rows: int = SLICE_RO
             homes = x[(hi == len(g)) & (hi > 0)] if len(starts) == 1 else fp[at[at >= starts[-1]]]
             group = g[-1]
 
-    keyed = fps.mapInArrow(spread, "key bigint, fp bigint").repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
-    return keyed.mapInArrow(match, "a bigint, b bigint")
+    keyed = map_batches(fps, spread, "key bigint, fp bigint").repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    return map_batches(keyed, match, "a bigint, b bigint")
 
 
 def dealt(key: np.ndarray, at: np.ndarray, fp: np.ndarray, home: np.ndarray, split: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:

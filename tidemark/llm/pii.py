@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrowed, slices, stored
+from .common import map_batches, narrowed, slices, stored
 
 KINDS = ("email", "ip", "card", "phone")
 CONFIDENCE, ROUNDS = 0.8, 3
@@ -128,7 +128,7 @@ def mentions(docs: DataFrame) -> DataFrame:
                 cols = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(cols[i], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["pattern", "value", "kind", "seed"])
 
-    return docs.select("text").mapInArrow(run, "pattern string, value string, kind string, seed boolean")
+    return map_batches(docs.select("text"), run, "pattern string, value string, kind string, seed boolean")
 
 
 def learn_patterns(docs: DataFrame, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -218,7 +218,7 @@ def _one_pass(found: DataFrame, known, names: tuple[str, str], first: bool, rewr
                 new = {names[0]: pa.array(bases, SPANS), names[1]: pa.array(spans, SPANS)} | ({"text": pa.array(texts, pa.string())} if rewrite else {})
                 yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for c, i in at.items()], names=list(at))
 
-    return found.mapInArrow(run, found.schema)
+    return map_batches(found, run, found.schema)
 
 
 def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:

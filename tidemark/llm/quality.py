@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrowed, slices, stored
+from .common import map_batches, narrowed, slices, stored
 
 SHRINKAGE, RIDGE = 0.1, 1e-3
 ACCEPT = 0.3
@@ -98,7 +98,7 @@ def vectors(docs: DataFrame) -> DataFrame:
                 x = pa.array([statistics(t.as_py()) for t in part.column(1)], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), x], names=["doc_id", "x"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def held_out(doc_id) -> F.Column:
@@ -123,7 +123,7 @@ def fit(found: DataFrame, labels: DataFrame) -> Model | None:
         at = np.indices(total.shape).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total.ravel())], names=["class", "at", "value"])
 
-    sums = rows.mapInArrow(moments, "class int, at int, value double").groupBy("class", "at").agg(F.sum("value").alias("value"))
+    sums = map_batches(rows, moments, "class int, at int, value double").groupBy("class", "at").agg(F.sum("value").alias("value"))
     total = np.zeros((2, 1 + d + d * d))
     for r in sums.collect():  # as many rows as the moments have numbers
         total[r["class"], r["at"]] = r["value"]
@@ -140,7 +140,7 @@ def scored(found: DataFrame, model: Model | None) -> DataFrame:
             score = shared.value.score(x) if shared.value else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    return found.mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_batches(found, run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep = shared.value.score(x) >= ACCEPT if shared.value else np.ones(len(x), bool)
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
