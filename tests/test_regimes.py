@@ -232,6 +232,8 @@ def test_pipeline_and_command_line(spark, tmp_path, capsys):
     assert spark.read.csv(f"{out}_nn.csv", header=True).count() == 720
     assert cli.main(["neighbors", path, "--date", "2001-03-01"], spark) == 0
     assert cli.main(["crisis", path, "--days", "2001-03-01", "2001-04-02"], spark) == 0
+    assert cli.main(["crisis", path], spark) == 1
+    assert cli.main(["neighbors", path, "--date", "2001-03-01", "--index", "hnsw"], spark) == 0
     assert cli.main(["bench", path], spark) == 0
     assert "recall" in capsys.readouterr().out
     assert cli.main(["neighbors", path, "--date", "2031-03-01"], spark) == 1

@@ -20,6 +20,10 @@ from .sources import sinks
 from .sources.bars import read_ohlcv_csv
 
 
+#: brute and hnsw are names that such tools use for exact and approximate search.
+INDEX_NAMES = {"exact": "exact", "brute": "exact", "lsh": "lsh", "hnsw": "lsh"}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tidemark", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
@@ -38,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     p = command("neighbors", "the nearest days of one day")
     p.add_argument("--date", required=True)
     p.add_argument("-k", type=int, default=10)
-    p.add_argument("--index", choices=sorted({"exact", "lsh"}), default="exact")
+    p.add_argument("--index", choices=sorted(INDEX_NAMES), default="exact")
     p = command("crisis", "the nearest days of days of stress")
     p.add_argument("-k", type=int, default=10)
     p.add_argument("--days", nargs="+", default=list(pipeline.STRESS_DAYS))
@@ -83,8 +87,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     raw, points = pipeline.standard_rows(bars, params)
     if args.command == "neighbors":
         features.find_row(raw, args.date)
-        shown(pipeline.neighbors_on(bars, [args.date], args.k, args.index).orderBy("rank"))
+        shown(pipeline.neighbors_on(bars, [args.date], args.k, INDEX_NAMES[args.index]).orderBy("rank"))
     elif args.command == "crisis":
+        for day in args.days:
+            features.find_row(raw, day)
         shown(pipeline.neighbors_on(bars, args.days, args.k).orderBy("date", "rank"))
     elif args.command == "dump-nn":
         found = knn.knn(points, params.columns, args.k)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import features, hdbscan, knn, standardize, validate
 from ..schema import ClusterParams, FeatureParams
 
-#: Days of market stress. Fixed values, and the default of a parameter.
-STRESS_DAYS = ("2008-10-10", "2011-08-08", "2020-03-16", "2022-06-13")
+#: Days of market stress.
+STRESS_DAYS = ("2008-10-10", "2008-11-20", "2020-03-16", "2020-03-23")
 
 
 def standard_rows(bars: DataFrame, params: FeatureParams = FeatureParams(), kind: str = "zscore") -> tuple[DataFrame, DataFrame]:
