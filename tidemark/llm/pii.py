@@ -9,13 +9,17 @@ dot) whose kind only their context can tell. Patterns and instances make a bipar
 deduplicated, so copies of a document add no weight. In each round Spark scores, for each kind,
 a pattern by the mean score of its instances and an instance by its best pattern; seeds keep 1.
 The +1 in a pattern's denominator asks for at least ``CONFIDENCE / (1 - CONFIDENCE)`` instances.
-Patterns that end at ``CONFIDENCE`` or more mark the candidates behind them.
+Of the patterns that end at ``CONFIDENCE`` or more, those count whose words announce an
+identifier: in at least that share of all places where they stand in the corpus, one follows.
+Common words that happen to stand before identifiers fail there. What passes marks the candidates
+behind it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -78,8 +82,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def context(text: str, start: int) -> str:
     """The two words before a position, lower-cased; empty if there aren't two nearby."""
-    words = WORD.findall(text[max(0, start - CONTEXT_CHARS) : start])
-    return " ".join(words[-2:]).lower() if len(words) > 1 else ""
+    words = WORD.findall(text[max(0, start - CONTEXT_CHARS) : start].lower())
+    return " ".join(words[-2:]) if len(words) > 1 else ""
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[tuple[str, ...], int, int]]:
@@ -110,13 +114,13 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[tuple[
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """pattern, value, kind and seed of everything that has a context; value is the MD5 of the
+    """pattern, value, kind, seed and n of everything that has a context; value is the MD5 of the
     identifier without blanks, so no personal data is stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = set()
+                rows: Counter = Counter()
                 for text in part.column(0):
                     text = text.as_py() or ""
                     base = base_spans(text)
@@ -125,16 +129,40 @@ def mentions(docs: DataFrame) -> DataFrame:
                         if pattern := context(text, a):
                             value = hashlib.md5("".join(text[a:b].split()).lower().encode()).hexdigest()
                             rows.update((pattern, value, k, seed) for k in kinds)
-                cols = list(zip(*rows)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[i], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["pattern", "value", "kind", "seed"])
+                cols = [*(list(zip(*rows)) or [[]] * 4), rows.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["pattern", "value", "kind", "seed", "n"])
 
-    return map_batches(docs.select("text"), run, "pattern string, value string, kind string, seed boolean")
+    return map_batches(docs.select("text"), run, "pattern string, value string, kind string, seed boolean, n bigint")
+
+
+def places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern and places: how often a pattern's words stand in the texts, whatever follows."""
+    total = docs.sparkSession.createDataFrame([], "pattern string, places bigint")
+    for known in pattern_groups(patterns):
+        if known:
+            total = total.unionByName(_places(docs, docs.sparkSession.sparkContext.broadcast({p for _, p in known})))
+    return total.groupBy("pattern").agg(F.max("places").alias("places"))  # two kinds' groups count the same places
+
+
+def _places(docs: DataFrame, known) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        pairs = {tuple(p.split(" ")) for p in known.value}
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column(0):
+                    words = WORD.findall((text.as_py() or "").lower())
+                    counts.update(pair for pair in zip(words, words[1:]) if pair in pairs)
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(p) for p in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["pattern", "places"])
+
+    return map_batches(docs.select("text"), run, "pattern string, places bigint").groupBy("pattern").agg(F.sum("places").alias("places"))
 
 
 def learn_patterns(docs: DataFrame, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """kind, pattern and score of the patterns with enough confidence."""
-    edges = mentions(narrowed(docs, "text")).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"))
-    seen = seeds_known(stored(edges, "mentions"))
+    texts = narrowed(docs, "text")
+    edges = stored(mentions(texts).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n")), "mentions")
+    seen = seeds_known(edges)
     scored = seen.withColumn("score", F.col("seed").cast("double"))
     for k in range(rounds):
         patterns = scored.groupBy("kind", "pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("p"))
@@ -142,7 +170,10 @@ def learn_patterns(docs: DataFrame, confidence: float = CONFIDENCE, rounds: int
             break
         best = seen.join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg(F.max(F.when(F.col("p") >= confidence, F.col("p")).otherwise(0.0)).alias("s"))
         scored = stored(seen.join(best, ["kind", "value"]).select("kind", "pattern", "value", F.when(F.col("seed"), 1.0).otherwise(F.col("s")).alias("score")), "scores")
-    return patterns.where(F.col("p") >= confidence).select("kind", "pattern", F.col("p").alias("score"))
+    good = stored(patterns.where(F.col("p") >= confidence).select("kind", "pattern", F.col("p").alias("score")), "patterns")
+    followed = edges.groupBy("kind", "pattern").agg(F.sum("n").alias("followed"))
+    sure = good.join(followed, ["kind", "pattern"]).join(places(texts, good), "pattern")
+    return sure.where(F.col("followed") >= confidence * F.col("places")).select("kind", "pattern", "score")
 
 
 def seeds_known(edges: DataFrame) -> DataFrame:
