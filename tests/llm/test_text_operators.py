@@ -188,6 +188,11 @@ def test_paragraphs_can_say_that_they_are_furniture():
     assert html_extract.main_text(page) == "The text of the page goes here and on.\nThe end."
 
 
+def test_headers_of_articles_stay():
+    page = "<body><div class='site-header'><p>The Paper of the whole town</p></div><div class='article-header'><h1>Flood</h1></div><div class=article-body><p>The river rose in the night and was over the road by dawn.</p></div><div class='post-footer'><p>Filed under weather and other news of the day</p></div>"
+    assert html_extract.main_text(page) == "Flood\nThe river rose in the night and was over the road by dawn."
+
+
 def test_extract_edges(spark):
     pages = [None, "", "<", "<<<>>>", "<p", "<script>x", "<!-- never closed", "<p>" * 5000, "a" * 100_000, "<a href='x" * 3000, "</div></div>x", "&am &lt;b&gt; &#x110000; &bogus;"]
     df = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate(pages)], "page_id long, url string, html string, text string")

@@ -73,8 +73,8 @@ def hint(name: str, attributes: str, in_article: bool) -> int | None:
         return -1 if words & FURNITURE_WORDS else 1
     if name == "body" or name == "header":
         return None
-    if words & FURNITURE_WORDS:
-        return None if words & {"header"} and in_article else -1
+    if found := words & FURNITURE_WORDS:
+        return None if found == {"header"} and (in_article or words & ARTICLE_WORDS) else -1
     return 1 if words & ARTICLE_WORDS else None
 
 

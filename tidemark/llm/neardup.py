@@ -14,8 +14,9 @@ and about 70 replicas of a fingerprint for t = 2.
 
 **Compare.** Only distinct fingerprints are replicated, so exact copies cost nothing. At an anchor
 the homes are compared with all rows, by XOR and bit count in bounded blocks, and only the links
-of spanning forests leave the task, never all pairs of a group. Replicas stream past the homes. An
-anchor that is home to very many is split: its homes are dealt to slices and its replicas go to
+of spanning forests leave the task, never all pairs of a group; a fingerprint has at most 2080
+others within 2 bits, so even in dense groups a row has few links. Replicas stream past the homes.
+An anchor that is home to very many is split: its homes are dealt to slices and its replicas go to
 each, so no task gathers an unbounded group.
 """
 
