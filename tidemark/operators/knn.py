@@ -64,12 +64,19 @@ def knn(points: DataFrame, columns: tuple[str, ...], k: int, block: int = 1, que
     """
     if k < 1:
         raise ValueError("k has to be 1 at least")
+    points = points.select("series_id", "row", *columns)
+    asked = points if queries is None else queries.select("series_id", "row", *columns)
+    return ranked(best_of_groups(asked, points, ["series_id"], columns, k, block, block_rows), k)
+
+
+def best_of_groups(asked: DataFrame, points: DataFrame, keys: list[str], columns: tuple[str, ...], k: int, block: int, block_rows: int) -> DataFrame:
+    """series_id, row, neighbor_row and d2: of each row asked for, the k nearest points with the same
+    keys in each of their blocks. keys begin with series_id."""
     part = F.floor(F.col("row") / block_rows).cast("int")
-    points = points.select("series_id", "row", *columns).withColumn("b", part)
-    asked = points if queries is None else queries.select("series_id", "row", *columns).withColumn("b", part)
-    blocks = lambda df, name: df.groupBy("series_id").agg(F.collect_set("b").alias(name))  # noqa: E731  small numbers: rows / block_rows
-    left = asked.join(blocks(points, "of"), "series_id").select("*", F.explode("of").alias("xb")).drop("of").select("series_id", F.col("b").alias("qb"), "xb", F.lit(True).alias("query"), "row", *columns)
-    right = points.join(blocks(asked, "of"), "series_id").select("*", F.explode("of").alias("qb")).drop("of").select("series_id", "qb", F.col("b").alias("xb"), F.lit(False).alias("query"), "row", *columns)
+    points, asked = points.withColumn("b", part), asked.withColumn("b", part)
+    blocks = lambda df: df.groupBy(*keys).agg(F.collect_set("b").alias("of"))  # noqa: E731  small numbers: rows / block_rows
+    left = asked.join(blocks(points), keys).select(*keys, F.col("b").alias("qb"), F.explode("of").alias("xb"), F.lit(True).alias("query"), "row", *columns)
+    right = points.join(blocks(asked), keys).select(*keys, F.explode("of").alias("qb"), F.col("b").alias("xb"), F.lit(False).alias("query"), "row", *columns)
 
     def search(group: pa.Table) -> pa.Table:
         is_query = group.column("query").to_numpy()
@@ -78,8 +85,7 @@ def knn(points: DataFrame, columns: tuple[str, ...], k: int, block: int = 1, que
         series = pa.array([group.column("series_id")[0].as_py()] * len(i), pa.string())
         return pa.table({"series_id": series, "row": pa.array(i, pa.int32()), "neighbor_row": pa.array(j, pa.int32()), "d2": pa.array(d2)})
 
-    found = left.unionByName(right).groupBy("series_id", "qb", "xb").applyInArrow(search, NEIGHBORS)
-    return ranked(found, k)
+    return left.unionByName(right.select(left.columns)).groupBy(*keys, "qb", "xb").applyInArrow(search, NEIGHBORS)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -108,12 +114,12 @@ def projections(d: int, tables: int, bits: int, width: float, seed: int) -> tupl
     return rng.normal(size=(tables, bits, d)), rng.uniform(0, width, size=(tables, bits))
 
 
-def approximate_knn(points: DataFrame, columns: tuple[str, ...], k: int, tables: int = 12, bits: int = 2, width: float = 2.0, seed: int = 42) -> DataFrame:
+def approximate_knn(points: DataFrame, columns: tuple[str, ...], k: int, tables: int = 12, bits: int = 2, width: float = 2.0, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """knn by locality-sensitive hashing: rows that share a bucket of some table are compared exactly.
 
     A bucket is the floors of bits random projections over width. More tables and wider buckets
-    find more; the same seed gives the same result. A bucket is compared in its own group, and only
-    the k best of each row leave it.
+    find more; the same seed gives the same result. A bucket is compared by blocks as in knn, whatever
+    its size, and only the k best of each row leave a pair of blocks.
     """
     if k < 1 or tables < 1 or bits < 1 or width <= 0:
         raise ValueError("k, tables, bits and width have to be positive")
@@ -129,16 +135,10 @@ def approximate_knn(points: DataFrame, columns: tuple[str, ...], k: int, tables:
             out = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(keys)], names=[*batch.schema.names, "table", "bucket"])
 
-    def search(group: pa.Table) -> pa.Table:
-        x = group.sort_by("row")
-        row = x.column("row").to_numpy()
-        i, j, d2 = best(row, matrix(x, columns), row, matrix(x, columns), k, 1)
-        series = pa.array([x.column("series_id")[0].as_py()] * len(i), pa.string())
-        return pa.table({"series_id": series, "row": pa.array(i, pa.int32()), "neighbor_row": pa.array(j, pa.int32()), "d2": pa.array(d2)})
-
     points = points.select("series_id", F.col("row").cast("int").alias("row"), *[F.col(c).cast("double").alias(c) for c in columns])
     kinds = ", ".join(["series_id string", "row int", *[f"`{c}` double" for c in columns], "table int", "bucket string"])
-    found = points.mapInArrow(buckets, kinds).groupBy("series_id", "table", "bucket").applyInArrow(search, NEIGHBORS)
+    hashed = points.mapInArrow(buckets, kinds)
+    found = best_of_groups(hashed, hashed, ["series_id", "table", "bucket"], columns, k, 1, block_rows)
     return ranked(found.dropDuplicates(["series_id", "row", "neighbor_row"]), k)
 
 
