@@ -30,3 +30,13 @@ def test_queries_equal_sql(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()[list(sql.columns)]
     key = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).map(lambda v: str(v)[:10] if hasattr(v, "year") else float(v) if isinstance(v, (int, float)) else v).values.tolist()))
     assert key(got) == key(sql)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_trees_span_all_rows(spark):
+    n = queries.rows4(spark, SF).count()
+    edges = lambda name: sorted(map(tuple, queries.QUERIES[name](spark, SF).collect()))
+    exact = edges("mst_all")
+    assert len(exact) == n - 1 > queries.SMALL_ROWS and edges("mst_rounds_all") == exact
+    rough = queries.QUERIES["mst_substrate"](spark, SF).first()
+    assert rough["edges"] == n - 1 and rough["weight"] >= sum(w for _, _, w in exact) - 1e-3

@@ -228,14 +228,20 @@ def weighed(tree: DataFrame) -> DataFrame:
     return rounded(tree.agg(F.count("*").alias("edges"), F.sum("w").alias("weight")))
 
 
+def whole(spark, sf_dir):
+    points = points4(spark, sf_dir)
+    g = knn.neighbor_graph(points, D4.columns, 10, 20).cache()
+    return points, g, graph.core_distances(g, 10)
+
+
 def mst_exact(spark, sf_dir):
-    """Edges and weight of the exact tree over the first rows (as many as SQL can span)."""
+    """Edges and weight of the exact tree over the first rows only (as many as SQL can span); mst_all has all rows."""
     points, _, core = small(spark, sf_dir)
     return weighed(graph.spanning_tree(points, core, D4.columns, SMALL_BLOCK))
 
 
 def mst_rounds(spark, sf_dir):
-    """The same by distributed rounds."""
+    """The same by distributed rounds; mst_rounds_all has all rows."""
     points, _, core = small(spark, sf_dir)
     return weighed(graph.boruvka(points, core, D4.columns, SMALL_BLOCK))
 
@@ -247,9 +253,16 @@ def mst_all(spark, sf_dir):
     return rounded(graph.spanning_tree(points, core, D4.columns, 20))
 
 
+def mst_rounds_all(spark, sf_dir):
+    """The same edges by distributed rounds."""
+    points, _, core = whole(spark, sf_dir)
+    return rounded(graph.boruvka(points, core, D4.columns, 20))
+
+
 def mst_substrate(spark, sf_dir):
-    points, g, core = small(spark, sf_dir)
-    return weighed(graph.substrate_tree(points, g, core, D4.columns, SMALL_BLOCK))
+    """Edges and weight of the tree over the neighbour graph of all rows."""
+    points, g, core = whole(spark, sf_dir)
+    return weighed(graph.substrate_tree(points, g, core, D4.columns, 20))
 
 
 CLUSTERS = ClusterParams(min_cluster_size=15, min_samples=5)
@@ -331,7 +344,7 @@ QUERIES = {
     for f in (
         bars_daily, log_returns, ohlcv_violations, merge_dedupe, history_depth, features_d4, features_d5, features_warmup251, zscore_params, zscore_apply, robust_params, robust_apply, feature_corr,
         feature_spread, volume_by_year, knn_exact, knn_external, knn_on_date, knn_stress_days, next_day_lookup, knn_blocked_w20, knn_embeddings, core_distance, knn_edges_sym, mutual_reach, mst_exact, mst_rounds,
-        mst_all, mst_substrate, hdbscan_labels, hdbscan_stability, cluster_counts, persistence, recurrence, episodes, forward_vol, regime_report, event_overlap, named_labels, ari, ann_recall,
+        mst_all, mst_rounds_all, mst_substrate, hdbscan_labels, hdbscan_stability, cluster_counts, persistence, recurrence, episodes, forward_vol, regime_report, event_overlap, named_labels, ari, ann_recall,
         close_range, momentum_by_series, lookup_on_date, neighbor_table, label_table, distinct_labels, label_counts, chart_json,
     )
 } | {f"{c}_{n}": one_feature(c) for c, n in (("realized_vol", 20), ("momentum", 20), ("max_drawdown", 20), ("skewness", 20), ("rel_volume", 252))}
