@@ -301,6 +301,25 @@ def test_scores_equal_the_network(spark):
     assert lm_score.score_documents(empty(spark)).count() == 0
 
 
+def test_every_word_keeps_its_count(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [" ".join(f"w{int(r.paretovariate(0.4)) % 400}" for _ in range(60)) for _ in range(60)]
+    docs = documents(spark, texts + texts[:2] + ODD)
+    asked = documents(spark, [*texts[:20], "w1 neverseen w399 neverseen", None])
+    scores = lambda: [{x["doc_id"]: x["log_prob"] for x in lm_score.score_documents(d, model).collect()} for d in (docs, asked)]
+    model = lm_score.train(docs)
+    want = scores()
+    counts = {x["word"]: x["n"] for x in lm_score.word_counts(docs).collect()}
+    for most in (150, 1):  # with 1, not even the first step of the histogram may fit
+        monkeypatch.setattr(lm_score, "VOCABULARY", most)
+        model = lm_score.train(docs)
+        assert len(model[0].words) <= most + lm_score.OWN < len(counts)
+        got = scores()
+        for a, b in zip(want, got):
+            assert a.keys() == b.keys() and all(b[k] == pytest.approx(a[k], rel=1e-5, abs=1e-6) for k in a)
+        assert got[0][0] == got[0][60] and got[0][1] == got[0][61]
+
+
 def test_probabilities_sum_to_one(spark):
     docs = documents(spark, ["a b c a b d a", "b c"])
     vocabulary, network = lm_score.train(docs)
