@@ -280,3 +280,15 @@ def test_queries_equal_sql(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()[list(sql.columns)]
     key = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).values.tolist()))
     assert key(got) == key(sql)
+
+
+def test_an_append_with_other_columns_is_refused(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"))
+    first = spark.createDataFrame([(1, "a")], "doc_id int, text string")
+    store.append(first)
+    for other in ("doc_id int, text string, extra string", "doc_id bigint, text string", "doc_id int"):
+        row = (2, "b", "kept")[: other.count(",") + 1]
+        with pytest.raises(ValueError, match="columns"):
+            store.append(spark.createDataFrame([row], other))
+    store.append(first.select("text", "doc_id"))
+    assert [tuple(r) for r in store.read().collect()] == [(1, "a")] * 2 and store.version() == 2

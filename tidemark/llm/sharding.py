@@ -103,16 +103,28 @@ class ShardStore:
             raise
 
     def append(self, df: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
-        """Writes df as new shards of at most so many rows, without a shuffle; the new version."""
+        """Writes df as new shards of at most so many rows, without a shuffle; the new version.
+
+        ValueError if its columns or their types aren't those of the shards that are there: all
+        shards are read and merged with one schema.
+        """
+        self._fits(df, self.shards())
         new = self._write(df.write.option("maxRecordsPerFile", rows))
         while True:
             version = self.version()
+            now = self.shards(version)
+            self._fits(df, now)  # another append may have been the first
             try:
-                self.commit(version + 1, [*self.shards(version), *new])
+                self.commit(version + 1, [*now, *new])
                 return version + 1
             except Conflict:
                 continue
 
+    def _fits(self, df: DataFrame, shards: list[Shard]) -> None:
+        have, new = (dict(x.dtypes) for x in (self._read(shards[:1]) if shards else df, df))
+        if have != new:
+            raise ValueError(f"the store has columns {have}, not {new}")
+
     def _write(self, writer) -> list[Shard]:
         folder = f"shards/{uuid.uuid4().hex}"
         writer.option("compression", "zstd").parquet(f"{self.path}/{folder}")
