@@ -112,7 +112,67 @@ def test_neardup_equals_brute_force(spark):
     assert found == {i: (f, c) for i, f, c in zip(ids, fps, want)}
     kept = neardup.drop_near_duplicates(df).collect()
     assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == sorted({c for c in want if c is not None})
-    assert sum(x["doc_id"] is None for x in kept) == 1
+    assert sum(x["doc_id"] is None for x in kept) == sum(c is None for c in want)
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = "a b c d e f g", "some other words stand here now", "and these are none of those two"
+    kept = lambda rows: sorted((r["doc_id"] or 0, r["text"]) for r in neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept([(1, a), (1, b), (2, c)]) == sorted([(1, a), (1, b), (2, c)])
+    # Ids 5 are in two groups: each group keeps its smallest row.
+    assert kept([(5, a), (3, a), (5, b), (9, b)]) == sorted([(3, a), (5, b)])
+    assert kept([(None, a), (None, a), (None, b), (4, b)]) == sorted([(0, a), (4, b)])
+    assert kept([(1, a)] * 7 + [(2, a)] * 5 + [(3, c)] * 4) == sorted([(1, a), (3, c)])
+    maps = spark.createDataFrame([(1, a, {"k": 1}), (1, a, {"k": 1}), (2, a, None)], "doc_id long, text string, best map<string,int>")
+    assert [(r["doc_id"], r["best"]) for r in neardup.drop_near_duplicates(maps).collect()] == [(1, {"k": 1})]
+
+
+@pytest.mark.parametrize("limit", [0, 400_000])
+def test_decisions_are_the_same_with_and_without_broadcast(spark, limit, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_KEYS", limit)
+    r = random.Random(12)
+    base = [words(r, 30) for _ in range(8)]
+    rows = [(r.choice([None, *range(12)]), r.choice(base)) for _ in range(80)]
+    component = brute_components(list(range(80)), [brute_simhash(t) for _, t in rows])
+    want = sorted(min((i is None, i or 0) for (i, _), c in zip(rows, component) if c == k) for k in set(component))
+    got = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in got) == want
+
+
+def test_texts_are_not_shuffled(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = neardup.drop_near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_the_third_code_finds_all_and_compares_few(spark, monkeypatch):
+    r = random.Random(13)
+    counted = []
+    compare = neardup.compare
+    monkeypatch.setattr(neardup, "compare", lambda x, lo, hi, fp, t: counted.append(int((hi - lo).sum())) or compare(x, lo, hi, fp, t))
+    shares = []
+    for n in (2000, 8000):  # all of one anchor: only bits 46 to 63 differ, and a few others
+        fps = np.unique(np.array([neardup.signed(r.getrandbits(18) << 46 | (1 << r.randrange(46) if r.random() < 0.5 else 0)) for _ in range(n)]))
+        counted.clear()
+        a, b = neardup.probe(fps, fps, 2)
+        shares.append(sum(counted) / len(fps) ** 2)
+        x = fps.view(np.uint64)
+        near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 2
+        tops = list(range(len(fps)))
+        at = {v: i for i, v in enumerate(fps.tolist())}
+
+        def find(i):
+            while tops[i] != i:
+                i = tops[i]
+            return i
+
+        for u, v in zip(a.tolist(), b.tolist()):
+            assert near[at[u], at[v]]
+            tops[find(at[u])] = find(at[v])
+        roots = np.array([find(i) for i in range(len(fps))])
+        i, j = np.nonzero(near)
+        assert (roots[i] == roots[j]).all()
+    assert max(shares) < 0.03  # 36 of 2,048 codewords
 
 
 @pytest.mark.parametrize("slice_rows", [20_000, 3])

@@ -17,7 +17,10 @@ the homes are compared with all rows, by XOR and bit count in bounded blocks, an
 of spanning forests leave the task, never all pairs of a group; a fingerprint has at most 2080
 others within 2 bits, so even in dense groups a row has few links. Replicas stream past the homes.
 An anchor that is home to very many is split: its homes are dealt to slices and its replicas go to
-each, so no task gathers an unbounded group.
+each, so no task gathers an unbounded group. Where a slice has over ``PROBE_HOMES`` homes, a third
+code cuts the comparisons: homes are sorted by their codeword of the Hamming code [15,11] on bits
+46-60, and a row is compared with the homes of the 36 of 2,048 codewords within 1 + t of it only.
+This needs no more replicas; it happens inside the task.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, narrowed, slices, stored
@@ -40,6 +43,8 @@ SEED = 42
 CHUNK = 1 << 16
 #: Homes in a slice of an anchor (at least; and a 60,000th of all rows), and pairs compared at once.
 SLICE_ROWS, BLOCK_PAIRS = 20_000, 1 << 22
+#: Homes beyond which a slice is probed by the third code, and fingerprints that one task replicates.
+PROBE_HOMES, SPREAD_ROWS = 1024, 20_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,49 +74,49 @@ def signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row; a null or empty text has 0."""
-    docs = narrowed(docs, "doc_id", "text")
+    """fp (the 64 bits as a signed long) of every row's text and all other columns; a null or empty
+    text has 0."""
+    at, kept = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                fp = pa.array([signed(simhash(t.as_py())) for t in part.column(1)], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), fp], names=["doc_id", "fp"])
+                fp = pa.array([signed(simhash(t.as_py())) for t in part.column(at)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), fp], names=[*kept, "fp"])
 
-    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return map_batches(docs, run, ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept), "fp bigint"]))
 
 
-class Golay:
-    """The binary Golay code [23,12], as remainders modulo its generator polynomial."""
+class Cyclic:
+    """A binary cyclic code that covers every word within its radius, as remainders modulo its generator."""
 
-    BITS, RADIUS, GENERATOR = 23, 3, 0b101011100011
-
-    def __init__(self, reach: int):
+    def __init__(self, bits: int, radius: int, generator: int, reach: int):
         """reach: bits beyond the radius. patterns[e] has for each remainder the words of weight at
-        most RADIUS + reach with this remainder whose weight exceeds the radius by e (0: by none)."""
-        self.table = np.array([self._remainder(x) for x in range(1 << 12)], np.int32)  # of the upper 12 bits
+        most radius + reach with this remainder whose weight exceeds the radius by e (0: by none)."""
+        self.checks = generator.bit_length() - 1
+        self.generator = generator
+        self.table = np.array([self._remainder(x) for x in range(1 << bits - self.checks)], np.int32)  # of the upper bits
         words = np.array([0], np.int64)
         weights = np.array([0], np.int64)
-        for bit in range(self.BITS):
-            more = weights < self.RADIUS + reach
+        for bit in range(bits):
+            more = weights < radius + reach
             words, weights = np.concatenate([words, words[more] | 1 << bit]), np.concatenate([weights, weights[more] + 1])
         remainder = self.remainder(words)
         self.patterns = []
         for e in range(reach + 1):
-            of = np.maximum(weights - self.RADIUS, 0) == e
+            of = np.maximum(weights - radius, 0) == e
             by = np.lexsort((words[of], remainder[of]))
-            starts = np.searchsorted(remainder[of][by], np.arange((1 << 11) + 1))
+            starts = np.searchsorted(remainder[of][by], np.arange((1 << self.checks) + 1))
             self.patterns.append((words[of][by], starts))
 
     def _remainder(self, upper: int) -> int:
-        x = upper << 11
-        for bit in range(22, 10, -1):
-            if x >> bit & 1:
-                x ^= self.GENERATOR << bit - 11
+        x = upper << self.checks
+        while x >> self.checks:
+            x ^= self.generator << x.bit_length() - self.checks - 1
         return x
 
     def remainder(self, words: np.ndarray) -> np.ndarray:
-        return self.table[words >> 11] ^ (words & 0x7FF).astype(np.int32)
+        return self.table[words >> self.checks] ^ (words & (1 << self.checks) - 1).astype(np.int32)
 
     def near(self, words: np.ndarray, e: int) -> tuple[np.ndarray, np.ndarray]:
         """Codewords whose distance exceeds the radius by e (0: none): the index of the word, the codeword."""
@@ -123,7 +128,16 @@ class Golay:
         return index, words[index] ^ patterns[starts[r][index] + within]
 
 
-_CODES: dict[int, Golay] = {}
+#: Bits, covering radius and generator polynomial of the Golay and the Hamming code.
+GOLAY, HAMMING = (23, 3, 0b101011100011), (15, 1, 0b10011)
+_CODES: dict[tuple, Cyclic] = {}
+
+
+def code_of(kind: tuple[int, int, int], reach: int) -> Cyclic:
+    """The code, made once in each worker."""
+    if (kind, reach) not in _CODES:
+        _CODES[kind, reach] = Cyclic(*kind, reach)
+    return _CODES[kind, reach]
 
 
 def golay_parts(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +147,7 @@ def golay_parts(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def home_of(fps: np.ndarray) -> np.ndarray:
     """The anchor within the covering radius of each fingerprint."""
-    code = _CODES.get(0) or _CODES.setdefault(0, Golay(0))
+    code = code_of(GOLAY, 0)
     low, high = (code.near(x, 0)[1] for x in golay_parts(fps))
     return low | high << 23
 
@@ -141,7 +155,7 @@ def home_of(fps: np.ndarray) -> np.ndarray:
 def anchors(fps: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All (index of fingerprint, anchor, is home): the anchors whose distance exceeds the covering
     radius by threshold at most. The home is the anchor within the radius itself."""
-    code = _CODES.get(threshold) or _CODES.setdefault(threshold, Golay(threshold))
+    code = code_of(GOLAY, threshold)
     low, high = golay_parts(fps)
     of, at, home = [], [], []
     for e1 in range(threshold + 1):
@@ -189,6 +203,28 @@ def compare(homes: np.ndarray, lo: np.ndarray, hi: np.ndarray, fp: np.ndarray, t
     return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1)) if out else (fp[:0], fp[:0])
 
 
+def third_part(fps: np.ndarray) -> np.ndarray:
+    """Bits 46-60."""
+    return fps >> 46 & (1 << 15) - 1
+
+
+def probe(homes: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """As compare for many homes of one anchor and all of fp: a row meets only the homes whose codeword
+    of the third code is within the radius plus threshold of it."""
+    code = code_of(HAMMING, threshold)
+    word = code.near(third_part(homes), 0)[1]
+    by = np.argsort(word, kind="stable")
+    homes, word = homes[by], word[by]
+    out, step = [], max(1, BLOCK_PAIRS // len(homes))
+    for at in range(0, len(fp), step):
+        rows = fp[at : at + step]
+        near = [code.near(third_part(rows), e) for e in range(threshold + 1)]
+        of, words = (np.concatenate([n[k] for n in near]) for k in (0, 1))
+        lo, hi = np.searchsorted(word, words, "left"), np.searchsorted(word, words, "right")
+        out.append(compare(rows[of], lo, hi, homes, threshold))
+    return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1)) if out else (fp[:0], fp[:0])
+
+
 def links(fps: DataFrame, threshold: int = THRESHOLD, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Links a, b that connect the same fingerprints as all pairs at threshold or fewer bits do.
 
@@ -196,7 +232,9 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, slice_rows: int = SLICE_RO
     replica, in 46, 16 and 1 bits, so a slice's homes are read first and its replicas stream by.
     """
     sc = fps.sparkSession.sparkContext
-    slice_rows = max(slice_rows, fps.count() // 60_000)
+    total = fps.count()
+    slice_rows = max(slice_rows, total // 60_000)
+    fps = fps.repartition(max(sc.defaultParallelism, total // SPREAD_ROWS), "fp")  # a row becomes about 61
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +271,13 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, slice_rows: int = SLICE_RO
             x = np.concatenate([homes, fp[at]])
             lo = np.concatenate([np.zeros(len(homes), np.int64), starts[own]])
             hi = np.concatenate([np.full(len(homes), ends[0]), ends[own]])
-            a, b = compare(x, lo, hi, fp, threshold)
+            # Homes of one slice stand together: x is in the order of their slices.
+            first = np.flatnonzero(np.concatenate([[True], lo[1:] != lo[:-1]])) if len(x) else lo[:0]
+            counts = np.diff(np.append(first, len(x)))
+            many = np.repeat(counts > PROBE_HOMES, counts)
+            found = [compare(x[~many], lo[~many], hi[~many], fp, threshold)]
+            found += [probe(x[f : f + c], fp[lo[f] : hi[f]], threshold) for f, c in zip(first.tolist(), counts.tolist()) if c > PROBE_HOMES]
+            a, b = (np.concatenate([y[k] for y in found]) for k in (0, 1))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
             homes = x[(hi == len(g)) & (hi > 0)] if len(starts) == 1 else fp[at[at >= starts[-1]]]
@@ -284,35 +328,87 @@ def components(edges: DataFrame) -> DataFrame:
 HOT_SHARE = 0.001
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row.
-
-    Null and empty texts have the fingerprint 0 and are linked like others. Repeated rows and ids
-    stay repeated. Null ids aren't anyone's component_id, which is null if a group has no other. An
-    empty table gives an empty table; other columns are ignored.
-    """
-    prints = stored(fingerprints(docs), "prints")
-    by_fp = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "by_fp")
+def grouped(prints: DataFrame, best: Column, threshold: int = THRESHOLD) -> DataFrame:
+    """prints with best: the least value of best in the row's component. prints: a stored table with fp."""
+    by_fp = stored(prints.groupBy("fp").agg(F.min(best).alias("first"), F.count("*").alias("n")), "by_fp")
     roots = components(links(by_fp.select("fp"), threshold))
     roots = by_fp.join(roots, by_fp["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     roots = stored(roots, "roots")
-    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = stored(roots.join(ids, "root").select("fp", "component_id", "n"), "of_fp")
+    firsts = roots.groupBy("root").agg(F.min("first").alias("best"))
+    of_fp = stored(roots.join(firsts, "root").select("fp", "best", "n"), "of_fp")
     # The many rows of a hot fingerprint get their component from a broadcast of fewer than 1000 rows.
-    total = prints.count()
-    hot = of_fp.where(F.col("n") > HOT_SHARE * total).select("fp", "component_id")
-    is_hot = F.broadcast(hot.withColumn("hot", F.lit(True)))
-    marked = prints.join(is_hot, "fp", "left")
-    cold = marked.where("hot is null").drop("hot", "component_id").join(of_fp.select("fp", "component_id"), "fp")
-    return marked.where("hot").select("doc_id", "fp", "component_id").unionByName(cold.select("doc_id", "fp", "component_id"))
+    hot = of_fp.where(F.col("n") > HOT_SHARE * prints.count()).select("fp", "best")
+    marked = prints.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "fp", "left")
+    cold = marked.where("hot is null").drop("hot", "best").join(of_fp.select("fp", "best"), "fp")
+    names = [*prints.columns, "best"]
+    return marked.where("hot").select(names).unionByName(cold.select(names))
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row.
+
+    Null and empty texts have the fingerprint 0 and are linked like others; texts of any length are
+    taken whole. Repeated rows and ids stay repeated. Null ids aren't anyone's component_id, which is
+    null if a group has no other. An empty table gives an empty table; other columns are ignored.
+    """
+    prints = stored(fingerprints(narrowed(docs, "doc_id", "text")), "prints")
+    return grouped(prints, F.col("doc_id"), threshold).select("doc_id", "fp", F.col("best").alias("component_id"))
+
+
+#: Keys of rows that go, up to which they are broadcast (about 100 bytes each); more are shuffled.
+BROADCAST_KEYS = 400_000
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """128 bits of a row: equal for rows that are equal in all columns."""
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    every = F.struct(*plain) if "map<" in docs.schema.simpleString() else None
+    values = [F.to_json(every)] if every is not None else plain
+    return [F.xxhash64(*values).alias("_key_a"), F.xxhash64(F.lit(1), *values).alias("_key_b")]
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id. Of rows that repeat
-    its doc_id, one stays. Rows without an id can't be told apart and stay."""
-    keep = near_duplicates(docs).where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """docs with exactly one row of each group of near duplicates.
+
+    The one with the smallest doc_id stays, null ids come last; of several texts with that doc_id the
+    one whose row has the smallest digest, whichever it is, and of rows that are equal in all columns
+    one. A row goes only if another one of its own group stays, whatever ids the rows share. Null and
+    empty texts are one group; an empty table stays empty; all columns stay.
+
+    Decisions are made on digests; the texts aren't shuffled unless over ``BROADCAST_KEYS`` rows go.
+    """
+    keyed = docs.select("*", *row_keys(docs))
+    prints = stored(fingerprints(keyed.select("doc_id", "text", "_key_a", "_key_b")), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key_a", "_key_b")
+    rows = grouped(prints, order)
+    stays = (F.col("_key_a") == F.col("best._key_a")) & (F.col("_key_b") == F.col("best._key_b"))
+    keys = rows.groupBy("_key_a", "_key_b").agg(F.bool_and(stays).alias("stays"), F.count("*").alias("n"))
+    fates = stored(keys.where("not stays or n > 1").select("_key_a", "_key_b", "stays"), "fates")
+    known = {r["stays"]: r["count"] for r in fates.groupBy("stays").count().collect()}
+    fates = F.broadcast(fates) if sum(known.values()) <= BROADCAST_KEYS else fates
+    found = keyed.join(fates, ["_key_a", "_key_b"], "left")
+    kept = found.where("stays is null")
+    if known.get(True):  # rows that are equal in all columns
+        kept = kept.unionByName(first_in_task(found.where("stays")).dropDuplicates(["_key_a", "_key_b"]))
+    return kept.select([kept[f"`{c}`"] for c in docs.columns])
+
+
+def first_in_task(rows: DataFrame) -> DataFrame:
+    """rows with one of each key in a task (at least), so that what follows shuffles few texts."""
+    a, b = rows.columns.index("_key_a"), rows.columns.index("_key_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            new = []
+            for key in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist()):
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
+            if len(seen) > BROADCAST_KEYS:
+                seen.clear()
+
+    return map_batches(rows, run, rows.schema)
 
 
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
