@@ -36,11 +36,11 @@ def test_store_appends_compacts_and_keeps_versions(spark, tmp_path):
     assert rows(store.read(1)) == rows(docs)
     assert rows(store.read()) == rows(store.read(2))
     with pytest.raises(sharding.Conflict):
-        store.commit(store.version(), [])
+        store.commit(store.version(), store.schema(), [])
     before = rows(store.read())
     store.vacuum()
     assert rows(store.read()) == before
-    assert len(store._files("manifests")) == 1
+    assert len(store._names("manifests")) == 1
 
 
 def test_plan_merges_similar_sizes_only():
@@ -352,3 +352,79 @@ def test_an_append_with_other_columns_is_refused(spark, tmp_path):
             store.append(spark.createDataFrame([row], other))
     store.append(first.select("text", "doc_id"))
     assert [tuple(r) for r in store.read().collect()] == [(1, "a")] * 2 and store.version() == 2
+
+
+def test_an_append_can_add_columns(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"))
+    store.append(spark.createDataFrame([(0, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([("de", 10, "b")], "lang string, doc_id long, text string"), evolve=True)
+    with pytest.raises(ValueError, match="columns"):
+        store.append(spark.createDataFrame([("x", 1)], "doc_id string, lang int"), evolve=True)
+    store.append(spark.createDataFrame([(20,)], "doc_id long"), evolve=True)
+    want = {(0, "a", None), (10, "b", "de"), (20, None, None)}
+    rows = lambda: {(r["doc_id"], r["text"], r["lang"]) for r in store.read().collect()}
+    assert rows() == want
+    store.compact(fan_in=2)
+    store.vacuum()
+    assert rows() == want and len(store.shards()) < 3
+    assert [f.name for f in store.schema()] == ["doc_id", "text", "lang"]
+
+
+def test_a_writer_that_loses_the_race_tries_again(spark, tmp_path, monkeypatch):
+    docs = documents(spark, ["a", "b", "c"])
+    store, other = (sharding.ShardStore(spark, str(tmp_path / "race")) for _ in range(2))
+    store.append(docs)
+    for _ in range(4):
+        other.append(docs)
+    version, races = store.version, []
+
+    def late():
+        found = version()
+        if len(races) < 2:
+            races.append(found)
+            other.append(docs)  # takes the version that store is about to take
+        return found
+
+    monkeypatch.setattr(store, "version", late)
+    store.append(docs)
+    monkeypatch.setattr(store, "version", version)
+    assert store.read().count() == 3 * (1 + 4 + len(races) + 1)
+    # An append during a compaction stays beside the merged shards; a compaction that another has overtaken is dropped.
+    merged = store._merged
+
+    def meanwhile(shards, target):
+        out = merged(shards, target)
+        monkeypatch.setattr(store, "_merged", merged)
+        other.append(docs)
+        other.compact(fan_in=2)
+        return out
+
+    monkeypatch.setattr(store, "_merged", meanwhile)
+    n = store.read().count()
+    store.compact(fan_in=2)
+    assert store.read().count() == n + 3
+
+
+def test_object_stores_need_a_conditional_put(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "RENAMES", frozenset())
+    known: dict[str, bytes] = {}
+
+    def put(path, content):
+        if path in known:
+            return False
+        known[path] = content
+        (tmp_path / "o" / "manifests" / path.rpartition("/")[2]).write_bytes(content)
+        return True
+
+    store = sharding.ShardStore(spark, str(tmp_path / "o"), put)
+    assert store.append(documents(spark, ["a"])) == 1 and store.read().count() == 1
+    with pytest.raises(sharding.Conflict):
+        store.commit(1, store.schema(), [])
+
+
+def test_arrivals_go_by_bytes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = os.path.getsize(f"{SF}/documents.parquet")
+    rows = sharding.arrival_rows(docs)
+    assert rows == pytest.approx(docs.count() * sharding.ARRIVAL_BYTES / size, rel=0.05)
+    assert sharding.arrival_rows(docs.limit(0)) == 1
