@@ -383,6 +383,81 @@ def test_privacy_edges(spark):
     assert pii.redact(docs).where("doc_id = 10").first()["text"] == "[EMAIL] and [IP]"
 
 
+def test_long_runs_take_linear_time():
+    began = time.perf_counter()
+    for text in ("(" * 1_000_000, "1(" * 300_000, "a@" * 200_000, "a(at)" * 200_000, "(at)" * 200_000, "1 " * 300_000, "ab1" * 200_000, "@" * 500_000, "1:" * 200_000, "-" * 1_000_000):
+        pii.marks(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_long_names_and_far_words(spark):
+    patterns = spark.createDataFrame([("email", "write to _"), ("phone", "_ is mine"), ("card", "pay _ now"), ("secret", "token = _")], "kind string, pattern string")
+    long = "n" * 100
+    texts = [f"please write to {long}@host{'x' * 300} today", f"write to {' ' * 5000} {long}(at)home.example", "555-010-7777 is mine", "pay 1234 5678 9012 3456 now", 'token = "Zk91aabbccddeeff00112233" and Zk91aabbccddeeff00112233 alone']
+    clean = [r["text"] for r in pii.redact(documents(spark, texts), patterns).orderBy("doc_id").collect()]
+    assert clean == ["please write to [EMAIL] today", f"write to {' ' * 5000} [EMAIL]", "[PHONE] is mine", "pay [CARD] now", 'token = "[SECRET]" and Zk91aabbccddeeff00112233 alone']
+
+
+def test_secrets_are_found_by_their_context(spark):
+    r = random.Random(4)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'some words token = "{key()}" more' for _ in range(12)] + ['the token = "Ab12Cd34Ef56Gh78Ij90" here', f"commit {key()} was made", f"see {key()} there"]
+    found = {x["doc_id"]: [(s["kind"], texts[x["doc_id"]][s["start"] : s["end"]]) for s in x["spans"]] for x in pii.find_spans(documents(spark, texts)).collect()}
+    assert found[12] == [("secret", "Ab12Cd34Ef56Gh78Ij90")] and found[13] == found[14] == [] and all(len(found[i]) == 1 for i in range(12))
+
+
+def brute_patterns(texts, confidence):
+    """Kind and pattern to score, by plain loops over dicts."""
+    edges, seeds, follows, stands = {}, set(), {}, {}
+    for text in texts:
+        every = pii.marks(text or "")
+        for kinds, a, b, base, around in every:
+            value = "".join(text[a:b].split()).lower()
+            for k in kinds:
+                if base or kinds == ("secret",) and re.fullmatch("[0-9A-Fa-f]{32,}", text[a:b]):
+                    seeds.add((k, value))
+                for p in around:
+                    edges.setdefault((k, p), set()).add(value)
+                    follows[k, p] = follows.get((k, p), 0) + 1
+        items = pii.stream(text or "", pii.merged([(a, b) for _, a, b, _, _ in every]))[0]
+        for i in range(len(items) - 1):
+            x, y = items[i], items[i + 1]
+            for p in (f"{x} {y} _", f"_ {x} {y}") if x and y else ():
+                stands[p] = stands.get(p, 0) + 1
+            z = items[i + 2] if i + 2 < len(items) else None
+            if x and z:
+                stands[f"{x} _ {z}"] = stands.get(f"{x} _ {z}", 0) + 1
+    # A seed counts only where its pattern is; one that is a seed anywhere is one everywhere.
+    score = {(k, v): 1.0 if (k, v) in seeds else 0.0 for (k, _), vs in edges.items() for v in vs}
+    for _ in range(200):
+        p = {e: sum(score[e[0], v] for v in vs) / (len(vs) + 1) for e, vs in edges.items()}
+        for (k, v) in score:
+            if (k, v) not in seeds:
+                score[k, v] = max([p[e] for e, vs in edges.items() if e[0] == k and v in vs and p[e] >= confidence], default=0.0)
+    return {e: p[e] for e in edges if p[e] >= confidence and follows[e] >= confidence * stands[e[1]]}
+
+
+def test_graph_scores_equal_plain_python(spark):
+    r = random.Random(17)
+    around = [("call office", "please today"), ("my phone", "if needed"), ("reach me", "at night"), ("one of", "the others"), ("ring desk", "or wait")]
+    seeds = [f"+1 555 010 {1000 + i}" for i in range(30)]
+    loose = [f"555-010-{2000 + i}" for i in range(30)]
+    texts = []
+    for k, (before, after) in enumerate(around[:4]):
+        texts += [f"{before} {x} {after}" for x in r.sample(seeds, 12 if k < 2 else 1) + r.sample(loose[:12], (1, 2, 12, 4)[k])]
+    texts += [f"ring desk {x} or wait" for x in loose[:12]]  # reached over other values only
+    texts += ["one of the many", "my phone rang", None, "", "reach me at"] * 2
+    got = {(x["kind"], x["pattern"]): x["score"] for x in pii.learn_patterns(documents(spark, texts)).collect()}
+    want = brute_patterns(texts, pii.CONFIDENCE)
+    assert got.keys() == want.keys() and len(got) > 3
+    assert all(got[e] == pytest.approx(want[e], abs=1e-4) for e in got)
+
+
+def test_redaction_keeps_all_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd", "kept", 5, [1])], "doc_id int, text string, _base string, _spans int, spans array<int>")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "mail [EMAIL]", "kept", 5, [1])]
+
+
 # --- scores
 
 

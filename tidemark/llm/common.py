@@ -71,3 +71,9 @@ def narrowed(df: DataFrame, *names: str) -> DataFrame:
     """Only the wanted columns: others, whatever their names, can't clash with an operator's own."""
     field_names(df, *names)
     return df.select(*names)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has."""
+    have = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(have) + 1)) if n.lower() not in have) for name in names]
