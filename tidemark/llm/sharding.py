@@ -2,9 +2,9 @@
 
 Arrivals are appended as small immutable Parquet shards. Compaction sorts shards into tiers by
 size (each tier ``FAN_IN`` times the one below); a tier with ``FAN_IN`` shards or more is merged,
-shards that fit together going into one file of at most the target size. No merge shuffles: one
-scan reads all shards of a tier, packed whole into tasks of at most the target size, and each task
-writes one file, so a merge is one job whatever the number of shards.
+shards that fit together going into one file of at most the target size. No merge shuffles: each
+new file is one task that reads its shards and writes them, and several jobs of such tasks run side
+by side.
 
 A manifest lists the schema and the shards of one version. It is written under a name of its own
 and then takes its version's name, which fails if that version is there: of two writers one gets
@@ -26,8 +26,10 @@ import math
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
+from functools import reduce
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +42,8 @@ TARGET_BYTES, ARRIVAL_BYTES = 64 << 20, 8 << 20
 FAN_IN, BASE_BYTES = 4, 1 << 20
 #: Schemes of file systems whose rename is atomic and can refuse to overwrite.
 RENAMES = frozenset({"hdfs", "viewfs", "abfs", "abfss", "ofs"})
-#: Settings under which a scan puts whole files into tasks up to a size, and nothing else decides.
-PACKED = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+#: New files that one Spark job makes, and jobs at once.
+MERGES_PER_JOB, JOBS = 200, 8
 
 
 @dataclass(frozen=True)
@@ -197,9 +199,9 @@ class ShardStore:
         another compaction has taken away what this one merged, this round is dropped. Rows, repeated
         ones too, stay as they are; a store without shards stays as it is.
         """
-        while tiers := planned_tiers(self.shards(), target, fan_in):
-            new = [s for merges in tiers for s in self._merged([x for m in merges for x in m], target)]
-            old = {s for merges in tiers for m in merges for s in m}
+        while merges := planned(self.shards(), target, fan_in):
+            new = self._merged(merges)
+            old = {s for m in merges for s in m}
             while True:
                 version = self.version()
                 schema, now = self._manifest(version)
@@ -212,10 +214,17 @@ class ShardStore:
                     continue
         return self.version()
 
-    def _merged(self, shards: list[Shard], target: int) -> list[Shard]:
-        """The shards' rows in files of at most about target bytes: one scan, one file for each task."""
-        with settings(self.spark, PACKED | {"spark.sql.files.maxPartitionBytes": str(target)}):
-            return self._write(self._read(shards, self.schema()).write)
+    def _merged(self, merges: list[list[Shard]]) -> list[Shard]:
+        """One new shard for each list of shards."""
+        schema = self.schema()
+
+        def job(some: list[list[Shard]]) -> list[Shard]:
+            return self._write(reduce(DataFrame.unionAll, [self._read(m, schema).coalesce(1) for m in some]).write)
+
+        # Else a union of single partitions is one partition.
+        with settings(self.spark, {"spark.sql.unionOutputPartitioning": "false"}), ThreadPoolExecutor(JOBS) as jobs:
+            parts = [merges[at : at + MERGES_PER_JOB] for at in range(0, len(merges), MERGES_PER_JOB)]
+            return [s for new in jobs.map(job, parts) for s in new]
 
     def _read(self, shards: list[Shard], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{s.name}" for s in shards])
@@ -266,31 +275,26 @@ def arrival_rows(df: DataFrame) -> int:
     return max(1, min(1 << 31, math.ceil(df.count() * ARRIVAL_BYTES / max(1, size))))
 
 
-def planned_tiers(shards: list[Shard], target: int, fan_in: int) -> list[list[list[Shard]]]:
-    """The merges of one round by tier: in each tier with fan_in shards or more, shards from large to
-    small are put together while they fit the target. A list of one isn't a merge."""
+def planned(shards: list[Shard], target: int, fan_in: int) -> list[list[Shard]]:
+    """The merges of one round: in each tier with fan_in shards or more, shards from small to large
+    are put together while they fit the target. A list of one isn't a merge."""
     tiers: dict[int, list[Shard]] = {}
     for s in shards:
         if s.bytes * 2 <= target:
             tiers.setdefault(s.tier, []).append(s)
-    found = []
+    merges = []
     for _, tier in sorted(tiers.items()):
         if len(tier) < fan_in:
             continue
-        merges, group, size = [], [], 0
-        for s in sorted(tier, key=lambda s: (-s.bytes, s.name)):
+        group, size = [], 0
+        for s in sorted(tier, key=lambda s: (s.bytes, s.name)):
             if group and size + s.bytes > target:
                 merges.append(group)
                 group, size = [], 0
             group.append(s)
             size += s.bytes
-        found.append([m for m in [*merges, group] if len(m) > 1])
-    return [merges for merges in found if merges]
-
-
-def planned(shards: list[Shard], target: int, fan_in: int) -> list[list[Shard]]:
-    """The merges of one round."""
-    return [m for merges in planned_tiers(shards, target, fan_in) for m in merges]
+        merges.append(group)
+    return [m for m in merges if len(m) > 1]
 
 
 def compacted(docs: DataFrame, path: str, target: int = TARGET_BYTES, rows: int | None = None) -> ShardStore:
