@@ -7,20 +7,25 @@ for others it moves past the block. Where the shift is 0, the block is the suffi
 its bucket (keyed by the pattern's first word too) has the candidates, and a direct comparison
 confirms them.
 
-The patterns are read from the benchmark in groups of bounded size. Each group is one pass over
-the documents that adds to what is known of a document, so a benchmark of any size works and no
-broadcast grows with it.
+The patterns are read from the benchmark in groups of bounded size; an item of any length is cut
+into overlapping pieces. One group is one pass over the documents. Further groups are one pass
+each that hands back the digests of texts with hits, and the hits; these are put together and
+joined to the documents at the end, so texts are never written between groups, and no broadcast
+grows with the benchmark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, narrowed, slices, stored
+from .common import free_names, map_batches, narrowed, slices, stored
 
 WINDOW = 10
 #: Windows in one group of patterns (about 1 kB each in a worker).
@@ -81,53 +86,70 @@ def windows_of(items: list[tuple], size: int = WINDOW) -> dict[int, dict[tuple[b
 
 
 def pattern_groups(benchmark: DataFrame, size: int, limit: int) -> Iterator[list[tuple]]:
-    """The benchmark's rows in groups of at most so many words (a row alone if it has more)."""
+    """The benchmark's rows, as (item_id, text), in groups of at most so many words (and size - 1 more).
+    A longer text comes in pieces that overlap by size - 1 words, so each window is in one of them."""
     group, total = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len(words_of(row["text"]))
-        if group and total + n > limit:
-            yield group
-            group, total = [], 0
-        if n:
-            group.append((None if row["item_id"] is None else str(row["item_id"]), row["text"]))
-            total += n
+        words = words_of(row["text"])
+        item = None if row["item_id"] is None else str(row["item_id"])
+        for at in range(0, max(1, len(words) - size + 1) if words else 0, limit):
+            piece = words[at : at + limit + size - 1]
+            if group and total + len(piece) > limit:
+                yield group
+                group, total = [], 0
+            group.append((item, b" ".join(piece).decode()))
+            total += len(piece)
     yield group
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, group_windows: int = GROUP_WINDOWS, keep_text: bool = False, names: tuple[str, str, str] = ("n_words", "hits", "items")) -> DataFrame:
+RANGES = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+KINDS = {"n_words": "bigint", "hits": "array<struct<first:int,end:int>>", "items": "array<string>"}
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """doc_id with n_words, hits array<struct<first,end>> (disjoint word ranges inside any occurrence
     of a window, in order) and items array<string> (the items with occurring windows, distinct).
 
-    Null and empty texts have no words; a benchmark without words finds nothing; of items whose
-    item_id is null the words are hits, but they aren't listed. Repeated documents give repeated
-    rows, repeated items count once. keep_text: all columns of docs stay beside the three new ones
-    (called names), which replace columns of these names; else only doc_id stays.
+    Null and empty texts have no words; texts and items of any length are searched whole; a benchmark
+    without words finds nothing; of items whose item_id is null the words are hits, but they aren't
+    listed. Repeated documents give repeated rows, repeated items count once, other columns are
+    ignored; an empty table of documents gives an empty one.
     """
-    found = narrowed(docs, "doc_id", "text") if not keep_text else docs.drop(*names)
-    kept = found.columns if keep_text else ["doc_id"]
-    kinds = ("0L", "cast(array() as array<struct<first:int,end:int>>)", "cast(array() as array<string>)")
-    found = found.select("*", *[F.expr(e).alias(c) for c, e in zip(names, kinds)])
-    sc, passes = docs.sparkSession.sparkContext, 0
-    for group in pattern_groups(benchmark, size, group_windows):
-        if passes:
-            found = stored(found, "leaks")
-        found = _one_pass(found, sc.broadcast([WuManber(m, p) for m, p in sorted(windows_of(group, size).items())]), names)
-        passes += 1
-    return found.select(*kept, *names)
-
-
-def _one_pass(found: DataFrame, searches, names: tuple[str, str, str]) -> DataFrame:
-    ranges = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-    at = {c: i for i, c in enumerate(found.columns)}
+    return _found(narrowed(docs, "doc_id", "text"), benchmark, size, group_windows, list(KINDS)).drop("text")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, size: int, limit: int, names: list[str]) -> DataFrame:
+    """docs with n_words, hits and items in columns called names, which docs hasn't."""
+    groups = pattern_groups(benchmark, size, limit)
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        return _one_pass(docs, _searches(docs, first, size), names)
+    keys = free_names(docs, "_text_a", "_text_b")
+    digests = [F.xxhash64("text").alias(keys[0]), F.xxhash64(F.lit(1), "text").alias(keys[1])]
+    texts, parts = docs.select("text", *digests), []
+    for group in chain([first, second], groups):
+        part = _one_pass(texts, _searches(docs, group, size), names).where(F.size(names[1]) > 0)
+        parts.append(stored(part.groupBy(*keys).agg(F.first(names[1]).alias("h"), F.first(names[2]).alias("i")), "leaks"))
+    whole = reduce(DataFrame.unionAll, parts).groupBy(*keys).agg(F.flatten(F.collect_list("h")).alias("h"), F.array_distinct(F.flatten(F.collect_list("i"))).alias("i"))
+    whole = stored(whole, "leaks")  # one row for each text with hits
+    counted = _one_pass(docs.select("*", *digests), _searches(docs, [], size), names).drop(*names[1:])
+    found = counted.join(whole, keys, "left")
+    return _merged_hits(found.select(*docs.columns, names[0], *[F.coalesce(c, F.expr(f"cast(array() as {KINDS[k]})")).alias(n) for c, k, n in (("h", "hits", names[1]), ("i", "items", names[2]))]), names[1])
+
+
+def _searches(docs: DataFrame, group: list[tuple], size: int):
+    return docs.sparkSession.sparkContext.broadcast([WuManber(m, p) for m, p in sorted(windows_of(group, size).items())])
+
+
+def _one_pass(docs: DataFrame, searches, names: list[str]) -> DataFrame:
+    at, every = docs.columns.index("text"), [*docs.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 n_words, hits, items = [], [], []
-                for text, old, known in zip(part.column(at["text"]), part.column(at[names[1]]), part.column(at[names[2]])):
-                    words = words_of(text.as_py())
-                    spans = [(x["first"], x["end"]) for x in old.as_py()]
-                    ids = set(known.as_py())
+                for text in part.column(at):
+                    words, spans, ids = words_of(text.as_py()), [], set()
                     for search in searches.value:
                         for start, what in search.find(words):
                             spans.append((start, start + search.m))
@@ -136,8 +158,21 @@ def _one_pass(found: DataFrame, searches, names: tuple[str, str, str]) -> DataFr
                     n_words.append(len(words))
                     hits.append([{"first": a, "end": b} for a, b in merged(spans)])
                     items.append(sorted(ids))
-                new = dict(zip(names, (pa.array(n_words, pa.int64()), pa.array(hits, ranges), pa.array(items, pa.list_(pa.string())))))
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for c, i in at.items()], names=list(at))
+                new = (pa.array(n_words, pa.int64()), pa.array(hits, RANGES), pa.array(items, pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=every)
+
+    kinds = [T.StructField(n, T._parse_datatype_string(k)) for n, k in zip(names, KINDS.values())]
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, *kinds]))
+
+
+def _merged_hits(found: DataFrame, name: str) -> DataFrame:
+    """found with the ranges of several groups made disjoint."""
+    at = found.columns.index(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [[{"first": a, "end": b} for a, b in merged([(x["first"], x["end"]) for x in old])] for old in batch.column(at).to_pylist()]
+            yield batch.set_column(at, name, pa.array(hits, RANGES))
 
     return map_batches(found, run, found.schema)
 
@@ -153,10 +188,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark window, with the columns of docs."""
-    found = find_leaks(docs, benchmark, keep_text=True, names=("_leak_words", "_leak_hits", "_leak_items"))
-    return found.where(F.size("_leak_hits") == 0).select(*docs.columns)
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+    """The documents without any benchmark window, with the columns of docs, whatever their names.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together, null ids are like
+    others; without benchmark words all stay; an empty table stays empty.
+    """
+    names = free_names(docs, "_words", "_hits", "_items")
+    found = _found(docs, benchmark, WINDOW, group_windows, names)
+    return found.where(F.size(names[1]) == 0).drop(*names)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
