@@ -25,6 +25,8 @@ TERM_WORDS = 3
 BITS = 128
 RADIUS = 3
 HALVES = 0x0000000100000001
+#: Equal rows that one row stands for at most.
+LOT_ROWS = 10_000
 #: Documents in one range of ids, and ranges at most.
 RANGE_ROWS, RANGES = 1000, 20_000
 
@@ -156,7 +158,8 @@ def fingerprint_documents(docs: DataFrame, query_step: int = 100, radius: int =
     edited text, near_edited and near_next, and n_near: for ids divisible by query_step, the number
     of other rows whose fingerprint is within radius (null for other ids).
 
-    Null and empty texts have the fingerprint 0. Equal rows have equal results. A null id has no
+    Null and empty texts have the fingerprint 0; texts of any length are taken whole. Equal rows have
+    equal results and stay as many. A null id has no
     next document: its near_next is 0. An empty table gives an empty table; columns but doc_id
     and text are ignored.
     """
@@ -172,6 +175,12 @@ def fingerprint_documents(docs: DataFrame, query_step: int = 100, radius: int =
     asked = prints.where(F.col("doc_id") % query_step == 0).select("doc_id", "key", F.col("hi0").alias("hi"), F.col("lo0").alias("lo"))
     near = asked.join(near, ["hi", "lo"]).select("doc_id", "key", "near")
     found = prints.join(nexts, ["next_id", "next_key"], "left").join(near, ["doc_id", "key"], "left")
+    # Rows that repeat come back in lots; large ones are dealt to tasks first.
+    lot = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / LOT_ROWS)))
+    found = found.select("*", lot.alias("lot"))
+    if (prints.agg(F.max("rows")).first()[0] or 0) > LOT_ROWS:
+        found = found.repartition("doc_id", "key", "lot")
+    copies = F.least(F.col("rows") - F.col("lot") * LOT_ROWS, F.lit(LOT_ROWS))
     return found.select(
         "doc_id",
         "n_chars",
@@ -181,7 +190,7 @@ def fingerprint_documents(docs: DataFrame, query_step: int = 100, radius: int =
         likeness(distance(F.col("hi0"), F.col("lo0"), F.col("hi1"), F.col("lo1"))).alias("near_edited"),
         likeness(distance(F.col("hi0"), F.col("lo0"), F.col("hin"), F.col("lon"))).alias("near_next"),
         (F.col("near") - 1).alias("n_near"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy"),
+        F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"),
     ).drop("copy")
 
 
