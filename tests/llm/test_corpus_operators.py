@@ -281,7 +281,7 @@ def test_tables_find_all_within_the_radius(spark):
         assert got == {(x, y) for x in base for y in every if (x ^ y).bit_count() <= radius}
 
 
-def test_fingerprint_edges(spark):
+def test_fingerprint_edges(spark, monkeypatch):
     assert fingerprint.fingerprint_documents(empty(spark)).count() == 0
     rows = [(100, "a b c d e"), (100, "a b c d e"), (100, "other text here"), (None, "no id at all"), (200, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as fingerprint", "1 as key")
@@ -290,6 +290,9 @@ def test_fingerprint_edges(spark):
     lost = next(x for x in found if x["doc_id"] is None)
     assert lost["near_next"] == 0 and lost["edited_sha256"] == hashlib.sha256(b"no id at ").hexdigest() and lost["n_chars"] == 12
     assert {x["n_near"] for x in found if x["doc_id"] == 100} == {1, 0} and next(x for x in found if x["doc_id"] is None)["n_near"] is None
+    many = spark.createDataFrame([(1, "a b c d")] * 25 + [(2, "e f")], "doc_id long, text string")
+    monkeypatch.setattr(fingerprint, "LOT_ROWS", 10)
+    assert sorted(x["doc_id"] for x in fingerprint.fingerprint_documents(many).collect()) == [1] * 25 + [2]
     alone = fingerprint.fingerprint_documents(documents(spark, ["abcdefgh"])).first()
     assert alone["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
@@ -392,8 +395,8 @@ def test_a_writer_that_loses_the_race_tries_again(spark, tmp_path, monkeypatch):
     # An append during a compaction stays beside the merged shards; a compaction that another has overtaken is dropped.
     merged = store._merged
 
-    def meanwhile(shards, target):
-        out = merged(shards, target)
+    def meanwhile(merges):
+        out = merged(merges)
         monkeypatch.setattr(store, "_merged", merged)
         other.append(docs)
         other.compact(fan_in=2)

@@ -30,5 +30,10 @@ def test_scans_read_only_their_columns(spark, name, columns):
     assert read <= columns
 
 
+def test_url_rules_come_without_python_rows(spark):
+    text = queries.QUERIES["op10_url_filters"](spark, SF)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in text and "LogicalRDD" not in text
+
+
 def test_url_scan_skips_the_pages_text(spark):
     assert "html" not in plan(queries.QUERIES["op10_url_filters"](spark, SF))

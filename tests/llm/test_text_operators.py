@@ -153,6 +153,25 @@ def test_leaks_equal_brute_force(spark, group):
     assert got == {i: brute_leaks(t, items) for i, t in enumerate(texts)}
 
 
+def test_long_items_are_cut_into_pieces(spark):
+    r = random.Random(9)
+    item = " ".join(f"w{r.randrange(60)}" for _ in range(500))
+    pieces = list(decontaminate.pattern_groups(spark.createDataFrame([(1, item), (2, "a b"), (3, None)], "item_id int, text string"), 10, 40))
+    assert all(sum(len(t.split()) for _, t in g) <= 49 for g in pieces) and len(pieces) > 10
+    windows = {w for g in pieces for w in decontaminate.windows_of(g)[10]} if all(10 in decontaminate.windows_of(g) for g in pieces) else {w for g in pieces for w in decontaminate.windows_of(g).get(10, ())}
+    assert windows == set(decontaminate.windows_of([("1", item)])[10])
+
+
+@pytest.mark.parametrize("group", [100_000, 30])
+def test_leaks_leave_columns_and_texts_alone(spark, group):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, text, 7, "x"), (2, "nothing here", 8, "y"), (2, None, 9, None)], "doc_id int, text string, _words int, _hits string")
+    items = spark.createDataFrame([(k, f"{k} " + text.replace("ten", f"ten{k}" if k else "ten")) for k in range(6)], "item_id int, text string")
+    assert sorted(map(str, decontaminate.remove_leaks(docs, items, group).collect())) == sorted(map(str, docs.where("doc_id = 2").collect()))
+    found = decontaminate.find_leaks(docs, items, group_windows=group).where("doc_id = 1").first()
+    assert [(h["first"], h["end"]) for h in found["hits"]] == [(0, 11)] and found["items"] == ["0"] and found["n_words"] == 11
+
+
 def test_leaks_edges(spark):
     docs = documents(spark, ["one two three four five six seven eight nine ten eleven"])
     none = spark.createDataFrame([], "item_id int, text string")
@@ -517,6 +536,14 @@ def test_probabilities_sum_to_one(spark):
 # --- URLs
 
 
+def test_only_a_hosts_own_path_lengths_are_made(spark):
+    """A host with many path lengths costs the URLs of other hosts nothing."""
+    rules = url_filter.rules_frame(spark, [("block", f"many.org/{'p' * k}") for k in range(1, 200)] + [("block", "few.org/a")])
+    df = spark.createDataFrame([(1, "http://x.few.org/a" + "p" * 300), (2, "http://many.org/" + "p" * 150), (3, "http://none.org/ppp")], "page_id long, url string")
+    found = {r["page_id"]: r["rule"] for r in url_filter.apply_rules(df, rules).collect()}
+    assert found == {1: "few.org/a", 2: "many.org/" + "p" * 150, 3: None}
+
+
 def brute_verdict(url):
     host = path = ""
     if url and "://" in url:
@@ -541,5 +568,7 @@ def test_urls_equal_brute_force(spark):
     assert url_filter.apply_rules(df.unionByName(df), rules).count() == 2 * len(urls)
     assert url_filter.apply_rules(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in url_filter.apply_rules(df, rules.limit(0), default="block").collect()} == {"block"}
+    clash = df.selectExpr("page_id", "url", "'k' as _url", "'l' as _best")
+    assert {(r["_url"], r["_best"]) for r in url_filter.apply_rules(clash, rules).collect()} == {("k", "l")}
     both = url_filter.rules_frame(spark, [("allow", "org/"), ("block", "org/"), (None, "org/x"), ("block", None)])
     assert url_filter.apply_rules(df, both).where("page_id = 5").first()["verdict"] == "block"
