@@ -480,29 +480,77 @@ def test_redaction_keeps_all_columns(spark):
 # --- scores
 
 
+def plain_log_probability(network, s, at):
+    """By loops over the definition, for one position of a document's tokens s."""
+    token = lambda i: s[i] if 0 <= i < len(s) else 0
+    near = [token(at + d) for d in (-2, -1, 1, 2)]
+    hidden = np.tanh(sum(network.embed[t].astype(float) @ network.place[k].astype(float) for k, t in enumerate(near)) + network.bias)
+    c = s[at] // lm_score.CLASS
+    own = range(c * lm_score.CLASS, (c + 1) * lm_score.CLASS)
+    logits = network.classes.astype(float) @ hidden + network.class_bias
+    inner = np.array([network.embed[t].astype(float) @ hidden + network.token_bias[t] for t in own])
+    return logits[c] - math.log(np.exp(logits).sum()) + inner[s[at] - own[0]] - math.log(np.exp(inner).sum())
+
+
 def test_scores_equal_the_network(spark):
     r = random.Random(6)
     texts = [" ".join(r.choice(["the cat sat on the mat", "a dog ran to the park", "rain fell"]) for _ in range(r.randrange(1, 8))) for _ in range(40)] + ODD
     docs = documents(spark, texts)
     model = lm_score.train(docs)
-    vocabulary, network = model
+    vocabulary, network = model.vocabulary, model.network
     found = {x["doc_id"]: x for x in lm_score.score_documents(docs, model).collect()}
     at = {w: i for i, w in enumerate(vocabulary.words)}
     for i in (0, 7, 43):
-        words = lm_score.words_of(texts[i])
-        ids = [at.get(w, len(at) + lm_score.ending_symbol(w)) for w in words]
-        s = [0, *(int(vocabulary.symbol[k]) for k in ids), 0]
-        total = 0.0
-        for k, word in enumerate(ids):
-            hidden = np.tanh(network.left[s[k]] + network.right[s[k + 2]] + network.bias)
-            logits = hidden @ network.out + network.base
-            total += float(logits[s[k + 1]] - math.log(np.exp(logits - logits.max()).sum()) - logits.max()) + vocabulary.within[word]
-        assert found[i]["n_tokens"] == len(words) and found[i]["log_prob"] == pytest.approx(total, rel=1e-3)
+        ids = [at.get(w, len(at) + lm_score.ending_symbol(w)) for w in lm_score.words_of(texts[i])]
+        s = [int(vocabulary.symbol[k]) for k in ids]
+        total = sum(plain_log_probability(network, s, k) + vocabulary.within[ids[k]] for k in range(len(s)))
+        assert found[i]["n_tokens"] == len(ids) and found[i]["log_prob"] == pytest.approx(total, rel=1e-3)
     assert found[40]["log_prob"] == 0 and found[40]["mean_log_prob"] is None
-    fluent, shuffled = "the cat sat on the mat", "mat the the on sat cat"
-    pair = {x["doc_id"]: x["log_prob"] for x in lm_score.score_documents(documents(spark, [fluent, shuffled]), model).collect()}
-    assert pair[0] > pair[1]
     assert lm_score.score_documents(empty(spark)).count() == 0
+    twice = {}
+    for x in lm_score.score_documents(docs.unionByName(docs)).collect():
+        twice.setdefault(x["doc_id"], []).append(x["log_prob"])
+    assert all(len(v) == 2 and v[0] == pytest.approx(v[1], rel=1e-5, abs=1e-5) for v in twice.values())
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(3)
+    total = rng.integers(1, 50, lm_score.SYMBOLS).astype(float)
+    network = lm_score.Network.of_counts(total)
+    values = network.values()
+    for v in values:
+        v += rng.normal(0, 0.1, v.shape).astype(np.float32)
+    network = lm_score.Network(*(v.astype(np.float64) for v in values))
+    tokens = rng.integers(1, 300, 40)
+    around = rng.integers(0, 300, (40, 2 * lm_score.SIDE))
+    loss, gradients = network.gradient(around, tokens)
+    assert loss == pytest.approx(-network.log_probabilities(around, tokens).mean(), rel=1e-9)
+    for v, g in zip(network.values(), gradients):
+        for k in np.argsort(-np.abs(g).ravel())[:6]:
+            before = v.flat[k]
+            slopes = []
+            for step in (1e-5, -1e-5):
+                v.flat[k] = before + step
+                slopes.append(-network.log_probabilities(around, tokens).mean())
+            v.flat[k] = before
+            assert g.flat[k] == pytest.approx((slopes[0] - slopes[1]) / 2e-5, rel=1e-3, abs=1e-8)
+
+
+def test_context_helps_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
+    known, held = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
+    model = lm_score.train(known)
+    untrained = lm_score.Model(model.vocabulary, lm_score.Network.of_counts(model.vocabulary.total))
+    mean = lambda m: lm_score.score_documents(held, m).selectExpr("sum(log_prob) / sum(n_tokens)").first()[0]
+    assert mean(model) > mean(untrained) + 0.05
+
+
+def test_averages_weigh_tasks_by_their_windows(spark, monkeypatch):
+    """Without steps every task hands back what it got, however many there are."""
+    monkeypatch.setattr(lm_score, "RATE", 0.0)
+    docs = documents(spark, ["a b c d e f"] * 30).repartition(7)
+    model = lm_score.train(docs)
+    assert np.allclose(model.network.packed(), lm_score.Network.of_counts(model.vocabulary.total).packed(), atol=1e-6)
 
 
 def test_every_word_keeps_its_count(spark, monkeypatch):
@@ -517,7 +565,7 @@ def test_every_word_keeps_its_count(spark, monkeypatch):
     for most in (150, 1):  # with 1, not even the first step of the histogram may fit
         monkeypatch.setattr(lm_score, "VOCABULARY", most)
         model = lm_score.train(docs)
-        assert len(model[0].words) <= most + lm_score.OWN < len(counts)
+        assert len(model.vocabulary.words) <= most + lm_score.OWN < len(counts)
         got = scores()
         for a, b in zip(want, got):
             assert a.keys() == b.keys() and all(b[k] == pytest.approx(a[k], rel=1e-5, abs=1e-6) for k in a)
@@ -526,9 +574,11 @@ def test_every_word_keeps_its_count(spark, monkeypatch):
 
 def test_probabilities_sum_to_one(spark):
     docs = documents(spark, ["a b c a b d a", "b c"])
-    vocabulary, network = lm_score.train(docs)
-    p = np.exp(network.log_probabilities()).reshape(-1, lm_score.SYMBOLS)
-    assert p.sum(axis=1) == pytest.approx(np.ones(len(p)), abs=1e-4)
+    model = lm_score.train(docs)
+    every = np.arange(lm_score.SYMBOLS)
+    for near in ([0, 0, 1, 2], [1, 2, 3, 0], [5000, 1, 1, 6000]):
+        logs = model.network.log_probabilities(np.tile(near, (lm_score.SYMBOLS, 1)), every)
+        assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-4)
     counts = {r["word"]: r["n"] for r in lm_score.word_counts(docs).collect()}
     assert counts == {"a": 3, "b": 3, "c": 2, "d": 1}
 
