@@ -11,22 +11,6 @@ def returns():
     return np.random.default_rng(42).normal(-0.001, 0.015, 20)
 
 
-def lcg(seed):
-    """Uniform numbers in [0, 1) from a 64-bit linear congruential generator."""
-    x = seed
-    while True:
-        x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        yield (x >> 11) / 2**53
-
-
-def normals(uniform):
-    while True:
-        a, b = next(uniform), next(uniform)
-        radius = np.sqrt(-2 * np.log(max(a, 1e-300)))
-        yield radius * np.cos(2 * np.pi * b)
-        yield radius * np.sin(2 * np.pi * b)
-
-
 def bars(spark, closes, volumes=None, series="all"):
     """Bars with the given closes on consecutive days."""
     volumes = volumes or [1e6 + i for i in range(len(closes))]
@@ -36,11 +20,9 @@ def bars(spark, closes, volumes=None, series="all"):
 
 
 def walk(n, seed=1):
-    u, c, out = lcg(seed), 100.0, []
-    for _ in range(n):
-        out.append(c)
-        c *= np.exp((next(u) - 0.5) * 0.06)
-    return out
+    """Closes of a random walk with steps of up to 3 %."""
+    steps = np.random.default_rng(seed).uniform(-0.03, 0.03, n - 1)
+    return list(100 * np.exp(np.concatenate([[0], np.cumsum(steps)])))
 
 
 def points(spark, xs, series="all"):
@@ -51,12 +33,9 @@ def points(spark, xs, series="all"):
 
 
 def blobs(p, m, seed=5, apart=12.0):
-    """Two unit Gaussians and noise that keeps away from both."""
-    u = lcg(seed)
-    g = normals(u)
-    xs = [(next(g), next(g)) for _ in range(p)] + [(apart + next(g), next(g)) for _ in range(p)]
-    while len(xs) < 2 * p + m:
-        x, y = 60 * next(u) - 30, 60 * next(u) - 30
-        if np.hypot(x, y) > 15 and np.hypot(x - apart, y) > 15:
-            xs.append((x, y))
-    return xs
+    """Two round heaps of p points and m far points that stand on two rings around both."""
+    rng = np.random.default_rng(seed)
+    heaps = np.concatenate([rng.standard_normal((p, 2)), rng.standard_normal((p, 2)) + [apart, 0]])
+    angle, radius = rng.uniform(0, 2 * np.pi, m), rng.uniform(16, 30, m)
+    far = np.column_stack([apart / 2 + radius * np.cos(angle), radius * np.sin(angle)])
+    return [tuple(x) for x in np.concatenate([heaps, far])]

@@ -34,8 +34,10 @@ def test_features_of_a_day_push_nothing_below_their_windows(spark, tmp_path):
 
 def test_neighbours_never_make_pairs(spark, tmp_path):
     df, c = points(spark, [(i, i % 3) for i in range(30)])
-    text = plan(knn.knn(stored(df, tmp_path), c, 3))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text and "WindowGroupLimit" in text
+    df = stored(df, tmp_path)
+    one, cut = plan(knn.knn(df, c, 3)), plan(knn.knn(df, c, 3, block_rows=7))
+    assert "CartesianProduct" not in one + cut and "NestedLoop" not in one + cut and "WindowGroupLimit" in cut
+    assert one.count("Exchange") == 1 and "Join" not in one
 
 
 def test_validation_shares_its_exchanges(spark, tmp_path):

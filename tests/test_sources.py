@@ -3,11 +3,12 @@ import json
 import pytest
 from fixtures import bars, walk
 
+from tidemark.operators import validate
 from tidemark.operators.features import compute_features
 from tidemark.schema import OHLCV, FeatureParams
 from tidemark.sources import bars as B
 from tidemark.sources import download as D
-from tidemark.sources import sinks
+from tidemark.sources import sinks, storage
 
 HEAD = ",".join(OHLCV)
 GOOD = "2024-01-02,10,11,9,10.5,1000\n2024-01-03,10.5,12,10,11,0\n"
@@ -40,6 +41,8 @@ def test_good_file_with_mark_crlf_and_blank_lines(spark, tmp_path):
         (f"{HEAD}\n2024-01-02,1,1,1,nan,1\n", "2: close is no number"),
         (f"{HEAD}\n2024-01-02,1,1,1,,1\n", "2: close is no number"),
         (f"{HEAD}\n2024-01-02,1,1,1,1,-5\n", "2: volume is negative"),
+        (f"{HEAD}\n\n2024-01-02,1,1,1,1,1\n\n2024-01-01,1,1,1,1,1\n", "5: date doesn't increase"),
+        (f'{HEAD}\n2024-01-02,"1",1,1,1,1\n', "2: open is no number"),
         (f"{HEAD}\n2024-13-02,1,1,1,1,1\n", "2: date missing"),
         (f"{HEAD}\n", "has no rows"),
     ],
@@ -49,6 +52,38 @@ def test_bad_files_fail_with_line_and_reason(spark, tmp_path, text, reason):
         load(spark, tmp_path, text)
 
 
+def test_feature_and_label_files_read_back(spark, tmp_path):
+    rows = compute_features(bars(spark, walk(40)))
+    columns = FeatureParams().columns
+    sinks.write_csv(sinks.features_csv(rows, columns), str(tmp_path / "f"))
+    back = sinks.read_features_csv(spark, str(tmp_path / "f"), columns)
+    assert back.orderBy("row").collect() == rows.select("series_id", "row", "date", *columns).orderBy("row").collect()
+    labels = rows.selectExpr("series_id", "row", "date", "row % 3 - 1 as label")
+    sinks.write_csv(sinks.labels_csv(labels), str(tmp_path / "l"))
+    found = sinks.read_labels_csv(spark, str(tmp_path / "l"))
+    assert found.orderBy("row").collect() == labels.orderBy("row").collect()
+    with pytest.raises(Exception):
+        sinks.read_features_csv(spark, str(tmp_path / "l"), columns).collect()
+    assert {r["label"] for r in validate.only_labels(found, [1]).collect()} == {1}
+    assert {r["label"] for r in validate.only_labels(found, [0], noise=True).collect()} == {-1, 0}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("sc", (), {"getCheckpointDir": lambda self: type("none", (), {"isDefined": lambda self: False})()})()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_dir(type("session", (), {"sparkContext": Context()})())
+
+
 def test_merge_takes_equal_bars_once_and_refuses_others(spark):
     b = bars(spark, walk(10)).drop("day")
     assert B.merge_chunks(b.unionByName(b.limit(4))).count() == 10

@@ -51,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--tables", type=int, default=12)
     p.add_argument("--bits", type=int, default=2)
     p.add_argument("--width", type=float, default=2.0)
+    p.add_argument("--queries", type=int, default=11, help="single queries that are timed")
     p = command("dump-nn", "the neighbours of all days", prefix=True)
     p.add_argument("-k", type=int, default=10)
     p = command("regimes", "clusters, their validation and labels", prefix=True)
@@ -102,6 +103,13 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
             rows = df.count()
             print(f"{name}: {time.perf_counter() - began:.3f} s for {rows} neighbours")
         shown(knn.recall(found, exact))
+        times = []
+        for row in range(max(1, args.queries)):
+            began = time.perf_counter()
+            knn.knn(points, params.columns, args.k, queries=points.where(F.col("row") == row)).collect()
+            times.append(time.perf_counter() - began)
+        times.sort()
+        print(f"one query: mean {sum(times) / len(times):.3f} s, p50 {times[len(times) // 2]:.3f} s, p99 {times[len(times) * 99 // 100]:.3f} s")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

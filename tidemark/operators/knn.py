@@ -1,8 +1,10 @@
 """Nearest neighbours: exact by blocks, for given points, and approximate by hashing.
 
-Exact search compares every query with every point of its series, so pairs are never rows: a
-series is cut into blocks of ``BLOCK_ROWS`` rows, each pair of blocks is one group, and a group
-hands back the k best of its points for each query. A second, ordinary top-k merges the groups.
+Exact search compares every query with every point of its series, so pairs are never rows. Series of
+up to ``SINGLE_ROWS`` rows are one group each, whose rows are shuffled once. Where a series is longer,
+series are cut into blocks of ``BLOCK_ROWS`` rows, each pair of blocks is one group, and a group
+hands back the k best of its points for each query; an ordinary top-k merges the groups. A row then
+goes to as many groups as its series has blocks, 1 in ``BLOCK_ROWS`` of its comparisons.
 Neighbours are ordered by squared distance, then row; a point is left out by its row, never by a
 distance of 0, and rows under ``block`` days apart aren't neighbours.
 """
@@ -16,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS, SINGLE_ROWS = 32_768, 8192
 #: Distances held at once.
 CELLS = 1 << 21
+RANKED = "series_id string, row int, rank int, neighbor_row int, dist double"
 NEIGHBORS = "series_id string, row int, neighbor_row int, d2 double"
 
 
@@ -66,9 +69,29 @@ def knn(points: DataFrame, columns: tuple[str, ...], k: int, block: int = 1, que
         raise ValueError("k has to be 1 at least")
     points = points.select("series_id", "row", *columns)
     asked = points if queries is None else queries.select("series_id", "row", *columns)
+    most = points.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
+    if most <= min(SINGLE_ROWS, block_rows):
+        return best_of_series(asked if queries is not None else None, points, columns, k, block)
     return ranked(best_of_groups(asked, points, ["series_id"], columns, k, block, block_rows), k)
 
 
+def best_of_series(asked: DataFrame | None, points: DataFrame, columns: tuple[str, ...], k: int, block: int) -> DataFrame:
+    """As knn: each series is one group (asked: None for all points)."""
+
+    def search(series: str, q: pa.Table, x: pa.Table) -> pa.Table:
+        x = x.sort_by("row")
+        q = x if q is None else q
+        i, j, d2 = best(q.column("row").to_numpy(), matrix(q, columns), x.column("row").to_numpy(), matrix(x, columns), k, block)
+        starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
+        rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i)))) + 1
+        return pa.table({"series_id": pa.array([series] * len(i), pa.string()), "row": pa.array(i, pa.int32()), "rank": pa.array(rank, pa.int32()), "neighbor_row": pa.array(j, pa.int32()), "dist": pa.array(np.sqrt(d2))})
+
+    if asked is None:
+        return points.groupBy("series_id").applyInArrow(lambda key, x: search(key[0].as_py(), None, x), RANKED)
+    asked = asked.toDF(*[f"q_{c}" for c in asked.columns])  # asked may come from points, whose columns would be ambiguous
+    return asked.groupBy("q_series_id").cogroup(points.groupBy("series_id")).applyInArrow(lambda key, q, x: search(key[0].as_py(), q.rename_columns(x.column_names), x), RANKED)
+
+
 def best_of_groups(asked: DataFrame, points: DataFrame, keys: list[str], columns: tuple[str, ...], k: int, block: int, block_rows: int) -> DataFrame:
     """series_id, row, neighbor_row and d2: of each row asked for, the k nearest points with the same
     keys in each of their blocks. keys begin with series_id."""

@@ -58,9 +58,9 @@ def forward_volatility(bars: DataFrame, horizon: int = 20) -> DataFrame:
 
 
 def upper_median(c: str) -> Column:
-    """The middle value, of an even number the upper of the two."""
-    values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    """The middle value, of an even number the upper of the two. It keeps counts of values, no list."""
+    below, above = F.expr(f"percentile_disc(0.5) within group (order by {c})"), F.expr(f"percentile_disc(0.5) within group (order by {c} desc)")
+    return F.greatest(below, above)
 
 
 def forward_vol(labels: DataFrame, bars: DataFrame, horizon: int = 20) -> DataFrame:
@@ -69,6 +69,11 @@ def forward_vol(labels: DataFrame, bars: DataFrame, horizon: int = 20) -> DataFr
     return rows.groupBy("series_id", "label").agg(F.count("*").alias("n"), F.avg("forward_vol").alias("mean_vol"), upper_median("forward_vol").alias("median_vol"))
 
 
+def only_labels(labels: DataFrame, shown: list[int], noise: bool = False) -> DataFrame:
+    """labels of some regimes, and noise where it is wanted."""
+    return labels.where(F.col("label").isin(list(shown)) | (F.lit(noise) & (F.col("label") < 0)))
+
+
 def report(labels: DataFrame, bars: DataFrame, gap: int = 60, horizon: int = 20) -> DataFrame:
     """One row for each label: days, runs, mean run, episodes (null for noise) and what follows."""
     keys = ["series_id", "label"]

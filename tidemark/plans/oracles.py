@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from ..operators.standardize import NORMAL_IQR
 from ..schema import FEATURES
-from .queries import EVENTS, SMALL_BLOCK, SMALL_K, SMALL_ROWS, STRESS
+from .queries import BLOCK, CLUSTERS, EVENTS, K, MIN_SAMPLES, STRESS
 
 F4, F5 = FEATURES[:4], FEATURES
 
@@ -50,10 +52,8 @@ TABLES = {
     "episodes": "SELECT label, episode, count(*) AS n_days, min(row) AS first_row, max(row) AS last_row, min(date) AS first_date, max(date) AS last_date FROM spans GROUP BY label, episode",
     "ahead": "SELECT day, stddev_samp(ret) OVER w AS v, count(ret) OVER w AS n FROM returns WINDOW w AS (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)",
     "following": "SELECT label, count(*) AS n, avg(v) AS mean_vol, list_sort(list(v))[len(list(v)) // 2 + 1] AS median_vol FROM proxy JOIN ahead USING (day) WHERE n = 20 GROUP BY label",
-    "small": f"SELECT * FROM points WHERE row < {SMALL_ROWS}",
-    "small_near": neighbours("small", SMALL_K, SMALL_BLOCK),
-    "small_core": f"SELECT row, dist AS core FROM small_near WHERE rank = {SMALL_K - 1}",
-    "pairs": f"SELECT a.row AS a, b.row AS b, greatest(sqrt({distance('a', 'b')}), ca.core, cb.core) AS w FROM small a JOIN small b ON b.row - a.row >= {SMALL_BLOCK} JOIN small_core ca ON ca.row = a.row JOIN small_core cb ON cb.row = b.row",
+    "robust_points": f"SELECT row, {each(F4, '({c} - c_{c}) / s_{c} AS {c}')} FROM rows4, rparams",
+    "robust_near": neighbours("robust_points", 10, 1),
     "vectors": "SELECT CAST(vec_id AS BIGINT) AS row, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings",
     "vector_near": """SELECT a.row AS row, a.label AS label, b.row AS neighbor_row, b.label AS other, list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) AS d2,
     row_number() OVER (PARTITION BY a.row ORDER BY d2, b.row) AS rank FROM vectors a JOIN vectors b ON a.row <> b.row QUALIFY rank <= 10""",
@@ -86,14 +86,81 @@ def feature(name: str) -> str:
     return query(rows, select=f"SELECT row, date, {r(name)} FROM {rows}")
 
 
-#: Prim's algorithm: one row joins the tree in each step.
-PRIM = """tree(step, inside, weight) AS (
-  SELECT 1, [0], CAST(0 AS DOUBLE)
+#: Rounds in which components take their least edges, and doublings of the pointers between them.
+ROUNDS, DOUBLINGS = 9, 7
+
+
+def spanning(name: str, core: str, order: str = "false") -> dict[str, str]:
+    """Tables whose last, called name, has the edges a, b and w of the spanning tree of points; edges for
+    which order is false come first, then lighter ones."""
+    p = f"{name}_"
+    out = {
+        f"{p}pairs": f"SELECT a.row AS a, b.row AS b, {order} AS late, greatest(sqrt({distance('a', 'b')}), ca.core, cb.core) AS w FROM points a JOIN points b ON b.row - a.row >= {BLOCK} JOIN {core} ca ON ca.row = a.row JOIN {core} cb ON cb.row = b.row",
+        f"{p}comp0": "SELECT row, row AS c FROM points",
+    }
+    for k in range(ROUNDS):
+        comp = f"{p}comp{k}"
+        out[f"{p}out{k}"] = f"SELECT late, w, a, b, x.c AS ca, y.c AS cb FROM {p}pairs JOIN {comp} x ON x.row = a JOIN {comp} y ON y.row = b WHERE x.c <> y.c"
+        out[f"{p}best{k}"] = f"SELECT c, min(e) AS e FROM (SELECT ca AS c, struct_pack(late := late, w := w, a := a, b := b, o := cb) AS e FROM {p}out{k} UNION ALL SELECT cb AS c, struct_pack(late := late, w := w, a := a, b := b, o := ca) AS e FROM {p}out{k}) GROUP BY c"
+        out[f"{p}to{k}x0"] = f"SELECT x.c AS c, CASE WHEN y.e.o = x.c AND x.c < y.c THEN x.c ELSE x.e.o END AS r FROM {p}best{k} x JOIN {p}best{k} y ON y.c = x.e.o"
+        for d in range(DOUBLINGS):
+            out[f"{p}to{k}x{d + 1}"] = f"SELECT x.c AS c, y.r AS r FROM {p}to{k}x{d} x JOIN {p}to{k}x{d} y ON y.c = x.r"
+        out[f"{p}comp{k + 1}"] = f"SELECT row, coalesce(r, x.c) AS c FROM {comp} x LEFT JOIN {p}to{k}x{DOUBLINGS} t ON t.c = x.c"
+    out[name] = " UNION ".join(f"SELECT e.a AS a, e.b AS b, e.w AS w FROM {p}best{k}" for k in range(ROUNDS))
+    return out
+
+
+TABLES |= spanning("exact_tree", "core")
+TABLES |= spanning("rough_tree", "core", "(a.row, b.row) NOT IN (SELECT (a, b) FROM edges )")
+TABLES["core5"] = f"SELECT row, dist AS core FROM blocked WHERE rank = {CLUSTERS.min_samples - 1}"
+TABLES |= spanning("cluster_tree", "core5")
+
+#: Density clusters by the tree's joins in order: a join's sides; rows leave a cluster where their side
+#: is small or both are large; the cluster's stability is what its rows stay, in inverse distances.
+LEAST = CLUSTERS.min_cluster_size
+JOINS = """joins(k, comp, w, left_rows, right_rows) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(row ORDER BY row) FROM points), CAST(0 AS DOUBLE), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT j.k + 1, list_transform(j.comp, lambda x: CASE WHEN x = j.comp[e.b + 1] THEN j.comp[e.a + 1] ELSE x END), e.w,
+    list_filter(range(0, len(j.comp)), lambda i: j.comp[i + 1] = j.comp[e.a + 1]), list_filter(range(0, len(j.comp)), lambda i: j.comp[i + 1] = j.comp[e.b + 1])
+  FROM joins j JOIN ordered e ON e.k = j.k + 1)"""
+CLUSTER_TABLES = {
+    "ordered": "SELECT row_number() OVER (ORDER BY w, a, b) AS k, a, b, w FROM cluster_tree",
+    "sides": "SELECT k, 0 AS side, 1 / greatest(w, 1e-12) AS density, left_rows AS members, len(right_rows) AS other FROM joins WHERE k > 0 UNION ALL SELECT k, 1 AS side, 1 / greatest(w, 1e-12) AS density, right_rows AS members, len(left_rows) AS other FROM joins WHERE k > 0",
+    "steps": f"SELECT unnest(members) AS row, k, side, density, len(members) >= {LEAST} AS goes_on FROM sides WHERE len(members) < {LEAST} OR other >= {LEAST}",
+    "falls": "SELECT row, max(k) AS k FROM steps WHERE NOT goes_on GROUP BY row",
+    "path": "SELECT s.row AS row, s.k AS k, s.side AS side, s.density AS density, s.goes_on AS goes_on, lead(s.density) OVER (PARTITION BY s.row ORDER BY s.k DESC) AS leaves, lag(s.k * 2 + s.side) OVER (PARTITION BY s.row ORDER BY s.k DESC) AS parent FROM steps s JOIN falls f ON f.row = s.row WHERE s.k >= f.k",
+    "found": "SELECT k * 2 + side AS cluster, any_value(parent) AS parent, sum(leaves - density) AS stability, row_number() OVER (ORDER BY k * 2 + side) AS i FROM path WHERE goes_on GROUP BY k, side",
+    "kin": "SELECT x.i AS i, x.cluster AS cluster, x.stability AS stability, y.i AS above FROM found x LEFT JOIN found y ON y.cluster = x.parent",
+    "weighing": "",
+    "chosen": "SELECT k.cluster AS cluster, k.i AS i, k.stability AS stability FROM kin k, (SELECT takes FROM weighing ORDER BY i DESC LIMIT 1) WHERE takes[k.i]",
+    "top": "SELECT p.row AS row, arg_max(c.cluster, c.i) AS cluster, arg_max(c.stability, c.i) AS stability FROM path p JOIN chosen c ON c.cluster = p.k * 2 + p.side WHERE p.goes_on GROUP BY p.row",
+    "numbered": "SELECT cluster, row_number() OVER (ORDER BY min(row)) - 1 AS label FROM top GROUP BY cluster",
+    "labelled": "SELECT p.row AS row, p.day AS day, p.date AS date, coalesce(n.label, -1) AS label, coalesce(t.stability, 0) AS stability FROM points p LEFT JOIN top t ON t.row = p.row LEFT JOIN numbered n ON n.cluster = t.cluster",
+}
+#: From the smallest clusters up: one is taken unless what is best below it is more.
+WEIGHING = """weighing(i, below, takes) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(CAST(0 AS DOUBLE)) FROM kin), (SELECT list(false) FROM kin)
   UNION ALL
-  SELECT step + 1, list_append(inside, (SELECT CASE WHEN list_contains(inside, a) THEN b ELSE a END FROM pairs WHERE list_contains(inside, a) <> list_contains(inside, b) ORDER BY w, a, b LIMIT 1)),
-    weight + (SELECT min(w) FROM pairs WHERE list_contains(inside, a) <> list_contains(inside, b))
-  FROM tree WHERE step < (SELECT count(*) FROM small))"""
-MST = query("pairs", select="SELECT CAST(step - 1 AS BIGINT) AS edges, round(weight, 6) AS weight FROM tree ORDER BY step DESC LIMIT 1", recursive=PRIM)
+  SELECT w.i + 1, list_transform(w.below, lambda x, j: CASE WHEN j = c.above THEN x + greatest(w.below[c.i], c.stability) ELSE x END), list_transform(w.takes, lambda x, j: CASE WHEN j = c.i THEN NOT w.below[c.i] > c.stability ELSE x END)
+  FROM weighing w JOIN kin c ON c.i = w.i + 1)"""
+#: The validators' tables over these labels.
+VALIDATORS = ("runs", "lasting", "opened", "spans", "recurring", "following")
+for _name in VALIDATORS:
+    CLUSTER_TABLES[f"c_{_name}"] = re.sub(rf"\b({'|'.join(VALIDATORS)})\b(?= )", r"c_\1", TABLES[_name].replace(" proxy", " labelled")).replace("sum(c_", "sum(")
+
+
+def cluster_query(*tables: str, select: str) -> str:
+    """select over tables of clusters; named ones of TABLES come first."""
+    base = query("cluster_tree", "points", "ahead", select="").rstrip()
+    own, parts = ["ordered", "sides", "steps", "falls", "path", "found", "kin", "weighing", "chosen", "top", "numbered", "labelled", *tables], []
+    for t in own:
+        if t == "sides":
+            parts.append(JOINS)
+        parts.append(WEIGHING if t == "weighing" else f"{t} AS MATERIALIZED ({CLUSTER_TABLES[t]})")
+    return base.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + ",\n".join(parts) + "\n" + select
+
+
 EVENT_ROWS = ", ".join(f"({n}, '{e}', DATE '{a}', DATE '{b}')" for n, e, a, b in EVENTS)
 PAIRS5 = [(a, b) for i, a in enumerate(F5) for b in F5[i + 1 :]]
 
@@ -124,8 +191,21 @@ SQL = {
     "core_distance": query("core", select=f"SELECT row, {r('core')} FROM core"),
     "knn_edges_sym": query("edges", select=f"SELECT a, b, {r('dist')} FROM edges"),
     "mutual_reach": query("edges", "core", select="SELECT a, b, round(greatest(dist, x.core, y.core), 6) AS w FROM edges JOIN core x ON x.row = a JOIN core y ON y.row = b"),
-    "mst_exact": MST,
-    "mst_rounds": MST,
+    "mst_exact": query("exact_tree", select="SELECT count(*) AS edges, round(sum(w), 6) AS weight FROM exact_tree"),
+    "mst_rounds": query("exact_tree", select="SELECT count(*) AS edges, round(sum(w), 6) AS weight FROM exact_tree"),
+    "mst_all": query("exact_tree", select=f"SELECT a, b, {r('w')} FROM exact_tree"),
+    "mst_rounds_all": query("exact_tree", select=f"SELECT a, b, {r('w')} FROM exact_tree"),
+    "mst_substrate": query("rough_tree", select="SELECT count(*) AS edges, round(sum(w), 6) AS weight FROM rough_tree"),
+    "substrate_edges": query("rough_tree", select=f"SELECT a, b, {r('w')} FROM rough_tree"),
+    "hdbscan_labels": cluster_query(select="SELECT row, date, label FROM labelled"),
+    "hdbscan_stability": cluster_query(select="SELECT label, round(max(stability), 6) AS stability, count(*) AS n_days FROM labelled WHERE label >= 0 GROUP BY label"),
+    "cluster_counts": cluster_query(select="SELECT count(*) AS n_rows, count(DISTINCT label) FILTER (label >= 0) AS n_clusters, count(*) FILTER (label < 0) AS n_noise, round(count(*) FILTER (label < 0) / count(*), 6) AS noise_share FROM labelled"),
+    "cluster_persistence": cluster_query("c_runs", "c_lasting", select=f"SELECT label, n_days, CAST(n_runs AS BIGINT) AS n_runs, {r('mean_run')} FROM c_lasting"),
+    "cluster_recurrence": cluster_query("c_opened", "c_recurring", select="SELECT label, n_days, CAST(n_episodes AS BIGINT) AS n_episodes, first_row, last_row FROM c_recurring"),
+    "cluster_report": cluster_query("c_runs", "c_lasting", "c_opened", "c_recurring", "c_following", select=f"SELECT l.label AS label, l.n_days AS n_days, CAST(n_runs AS BIGINT) AS n_runs, {r('mean_run')}, CAST(n_episodes AS BIGINT) AS n_episodes, first_row, last_row, f.n AS n, {r('mean_vol', 'median_vol')} FROM c_lasting l LEFT JOIN c_recurring r ON r.label = l.label LEFT JOIN c_following f ON f.label = l.label"),
+    "scaling_recall": query("near", "robust_near", select="SELECT round(avg(r), 6) AS recall FROM (SELECT n.row, count(x.row) / count(*) AS r FROM near n LEFT JOIN robust_near x ON x.row = n.row AND x.neighbor_row = n.neighbor_row GROUP BY n.row)"),
+    "csv_round_trip": query("bars", select=f"SELECT date, {r('open', 'high', 'low', 'close', 'volume')}, day FROM bars"),
+    "chart_rows": query("rows4", "proxy", "bars", select=f"SELECT x.row AS row, CAST(x.date AS VARCHAR) AS date, round(b.close, 2) AS close, {r(*['x.' + c for c in F4])}, p.label AS fine, p.label AS coarse FROM rows4 x JOIN bars b ON b.day = x.day JOIN proxy p ON p.row = x.row"),
     "persistence": query("lasting", select=f"SELECT label, n_days, CAST(n_runs AS BIGINT) AS n_runs, {r('mean_run')} FROM lasting"),
     "recurrence": query("recurring", select="SELECT label, n_days, CAST(n_episodes AS BIGINT) AS n_episodes, first_row, last_row FROM recurring"),
     "episodes": query("episodes", select="SELECT label, episode, n_days, first_row, last_row, first_date, last_date FROM episodes"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from ..operators import features, graph, hdbscan, knn, standardize, validate
 from ..schema import OHLCV, ClusterParams, FeatureParams
 from ..sources import bars as B
 from ..sources import sinks
+from ..sources.storage import shared_dir
 from . import pipeline
 
 D4, D5 = FeatureParams(), FeatureParams(include_volume=True)
-#: A block, neighbour count and trees small enough for SQL to span.
-SMALL_ROWS, SMALL_K, SMALL_BLOCK = 120, 5, 5
+K, BLOCK, MIN_SAMPLES = 10, 20, 10
 VECTOR = tuple(f"e{i}" for i in range(64))
 
 
@@ -218,51 +220,50 @@ def mutual_reach(spark, sf_dir):
     return rounded(graph.mutual_reachability(graph.symmetric_edges(g), graph.core_distances(g, 10)))
 
 
-def small(spark, sf_dir):
-    points = points4(spark, sf_dir).where(F.col("row") < SMALL_ROWS)
-    g = knn.neighbor_graph(points, D4.columns, SMALL_K, SMALL_BLOCK).cache()
-    return points, g, graph.core_distances(g, SMALL_K)
-
-
 def weighed(tree: DataFrame) -> DataFrame:
     return rounded(tree.agg(F.count("*").alias("edges"), F.sum("w").alias("weight")))
 
 
 def whole(spark, sf_dir):
     points = points4(spark, sf_dir)
-    g = knn.neighbor_graph(points, D4.columns, 10, 20).cache()
-    return points, g, graph.core_distances(g, 10)
+    g = knn.neighbor_graph(points, D4.columns, K, BLOCK).cache()
+    return points, g, graph.core_distances(g, MIN_SAMPLES)
 
 
 def mst_exact(spark, sf_dir):
-    """Edges and weight of the exact tree over the first rows only (as many as SQL can span); mst_all has all rows."""
-    points, _, core = small(spark, sf_dir)
-    return weighed(graph.spanning_tree(points, core, D4.columns, SMALL_BLOCK))
+    """Edges and weight of the exact tree over all rows."""
+    points, _, core = whole(spark, sf_dir)
+    return weighed(graph.spanning_tree(points, core, D4.columns, BLOCK))
 
 
 def mst_rounds(spark, sf_dir):
-    """The same by distributed rounds; mst_rounds_all has all rows."""
-    points, _, core = small(spark, sf_dir)
-    return weighed(graph.boruvka(points, core, D4.columns, SMALL_BLOCK))
+    """The same by distributed rounds."""
+    points, _, core = whole(spark, sf_dir)
+    return weighed(graph.boruvka(points, core, D4.columns, BLOCK))
 
 
 def mst_all(spark, sf_dir):
-    """The exact tree over all rows."""
-    points = points4(spark, sf_dir)
-    core = graph.core_distances(knn.neighbor_graph(points, D4.columns, 10, 20), 10)
-    return rounded(graph.spanning_tree(points, core, D4.columns, 20))
+    """The exact tree's edges."""
+    points, _, core = whole(spark, sf_dir)
+    return rounded(graph.spanning_tree(points, core, D4.columns, BLOCK))
 
 
 def mst_rounds_all(spark, sf_dir):
     """The same edges by distributed rounds."""
     points, _, core = whole(spark, sf_dir)
-    return rounded(graph.boruvka(points, core, D4.columns, 20))
+    return rounded(graph.boruvka(points, core, D4.columns, BLOCK))
 
 
 def mst_substrate(spark, sf_dir):
     """Edges and weight of the tree over the neighbour graph of all rows."""
     points, g, core = whole(spark, sf_dir)
-    return weighed(graph.substrate_tree(points, g, core, D4.columns, 20))
+    return weighed(graph.substrate_tree(points, g, core, D4.columns, BLOCK))
+
+
+def substrate_edges(spark, sf_dir):
+    """That tree's edges."""
+    points, g, core = whole(spark, sf_dir)
+    return rounded(graph.substrate_tree(points, g, core, D4.columns, BLOCK))
 
 
 CLUSTERS = ClusterParams(min_cluster_size=15, min_samples=5)
@@ -273,7 +274,7 @@ def labelled(spark, sf_dir):
 
 
 def hdbscan_labels(spark, sf_dir):
-    return labelled(spark, sf_dir).select("row", "date", "label")
+    return rounded(labelled(spark, sf_dir).select("row", "date", "label"))
 
 
 def hdbscan_stability(spark, sf_dir):
@@ -284,6 +285,41 @@ def cluster_counts(spark, sf_dir):
     return rounded(validate.counts(labelled(spark, sf_dir)))
 
 
+def cluster_persistence(spark, sf_dir):
+    return rounded(validate.persistence(labelled(spark, sf_dir)))
+
+
+def cluster_recurrence(spark, sf_dir):
+    return rounded(validate.recurrence(labelled(spark, sf_dir), 5))
+
+
+def cluster_report(spark, sf_dir):
+    """Days, runs, episodes and following volatility of the clusters and of noise."""
+    return rounded(validate.report(labelled(spark, sf_dir).cache(), bars(spark, sf_dir), 5))
+
+
+def scaling_recall(spark, sf_dir):
+    """Recall at 10 of the neighbours under robust scaling against those under z-scores."""
+    raw = rows4(spark, sf_dir)
+    robust = standardize.Robust().fit_transform(raw, D4.columns)
+    return rounded(knn.recall(knn.knn(robust, D4.columns, 10), knn.knn(points4(spark, sf_dir), D4.columns, 10)))
+
+
+def csv_round_trip(spark, sf_dir):
+    """The bars, written as a bar file and loaded back through its contract."""
+    path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/bars-{uuid.uuid4().hex}"
+    sinks.write_csv(sinks.bars_csv(bars(spark, sf_dir)).coalesce(1), path)
+    return rounded(B.read_ohlcv_csv(spark, path))
+
+
+def chart_rows(spark, sf_dir):
+    """The chart's JSON read back: each feature row with its date, close, features and both labels."""
+    blob = "dates array<string>, close array<double>, offset int, features array<array<double>>, fine array<int>, coarse array<int>"
+    found = chart_json(spark, sf_dir).select(F.from_json("json", blob).alias("j")).select("j.*", F.posexplode("j.features").alias("row", "f"))
+    at = F.col("offset") + F.col("row") + 1
+    return rounded(found.select("row", F.element_at("dates", at).alias("date"), F.element_at("close", at).alias("close"), *[F.col("f")[i].alias(c) for i, c in enumerate(D4.columns)], F.element_at("fine", F.col("row") + 1).alias("fine"), F.element_at("coarse", F.col("row") + 1).alias("coarse")))
+
+
 def proxy(spark, sf_dir):
     """Rows labelled by volatility: noise in the middle, 0 calm, 1 restless. SQL can say that."""
     label = F.when(F.col("realized_vol") < 0.9, 0).when(F.col("realized_vol") > 1.1, 1).otherwise(-1)
@@ -344,7 +380,7 @@ QUERIES = {
     for f in (
         bars_daily, log_returns, ohlcv_violations, merge_dedupe, history_depth, features_d4, features_d5, features_warmup251, zscore_params, zscore_apply, robust_params, robust_apply, feature_corr,
         feature_spread, volume_by_year, knn_exact, knn_external, knn_on_date, knn_stress_days, next_day_lookup, knn_blocked_w20, knn_embeddings, core_distance, knn_edges_sym, mutual_reach, mst_exact, mst_rounds,
-        mst_all, mst_rounds_all, mst_substrate, hdbscan_labels, hdbscan_stability, cluster_counts, persistence, recurrence, episodes, forward_vol, regime_report, event_overlap, named_labels, ari, ann_recall,
+        mst_all, mst_rounds_all, mst_substrate, substrate_edges, cluster_persistence, cluster_recurrence, cluster_report, scaling_recall, csv_round_trip, chart_rows, hdbscan_labels, hdbscan_stability, cluster_counts, persistence, recurrence, episodes, forward_vol, regime_report, event_overlap, named_labels, ari, ann_recall,
         close_range, momentum_by_series, lookup_on_date, neighbor_table, label_table, distinct_labels, label_counts, chart_json,
     )
 } | {f"{c}_{n}": one_feature(c) for c, n in (("realized_vol", 20), ("momentum", 20), ("max_drawdown", 20), ("skewness", 20), ("rel_volume", 252))}

@@ -19,18 +19,23 @@ class ContractError(ValueError):
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The file's fields as strings, with ``line`` (2 is the first data row; blank lines don't count)
-    and the whole row where it hasn't exactly six fields. A header other than the bar header fails.
+    """The file's fields as strings, with ``line`` (the file's own numbers: the header is 1, blank lines
+    count) and the whole line where it hasn't exactly six fields. Quotes mean nothing. A header other
+    than the bar header fails.
 
-    The number is the row's place, so the file is read by one task; a large archive comes as a table
+    The number is the line's place, so the file is read by one task; a large archive comes as a table
     and goes to ``violations`` without lines.
     """
-    fields = [T.StructField(c, T.StringType()) for c in OHLCV]
-    header = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("h")).head()
-    if header is None or header["h"].replace("﻿", "") != ",".join(OHLCV):
+    text = spark.read.text(path).coalesce(1).withColumn("line", F.monotonically_increasing_id() + 1)
+    value = F.regexp_replace(F.when(F.col("line") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")), "\r$", "")
+    text = text.select("line", value.alias("value"))
+    header = text.where("line = 1").head()
+    if header is None or header["value"] != ",".join(OHLCV):
         raise ContractError(f"{path}:1: the header has to be {','.join(OHLCV)}")
-    raw = spark.read.csv(path, schema=T.StructType([*fields, T.StructField(CORRUPT, T.StringType())]), header=True, columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
-    return raw.coalesce(1).withColumn("line", F.monotonically_increasing_id() + 2)
+    parts = F.split("value", ",", -1)
+    six = F.size(parts) == len(OHLCV)
+    fields = [F.when(six, parts[i]).alias(c) for i, c in enumerate(OHLCV)]
+    return text.where("line > 1 and value <> ''").select(*fields, F.when(~six, F.col("value")).alias(CORRUPT), "line")
 
 
 def typed(raw: DataFrame, series_id: str = "all") -> DataFrame:

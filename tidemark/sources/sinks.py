@@ -1,8 +1,8 @@
-"""Writers of bars, features, neighbours and labels, and the chart's JSON."""
+"""Writers of bars, features, neighbours and labels, readers of features and labels, and the chart's JSON."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import OHLCV
@@ -22,6 +22,20 @@ def features_csv(features: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return features.select("date", *columns).orderBy("date")
 
 
+def read_features_csv(spark: SparkSession, path: str, columns: tuple[str, ...], series_id: str = "all") -> DataFrame:
+    """series_id, row, date and columns of a feature file, raw or standardised; another header fails."""
+    kinds = ", ".join(["date date", *(f"{c} double" for c in columns)])
+    found = spark.read.csv(path, schema=kinds, header=True, enforceSchema=False, mode="FAILFAST")
+    row = F.row_number().over(Window.orderBy("date")) - 1  # one file is one series
+    return found.select(F.lit(series_id).alias("series_id"), row.alias("row"), "date", *columns)
+
+
+def read_labels_csv(spark: SparkSession, path: str, series_id: str = "all") -> DataFrame:
+    """series_id, row, date and label of a label file."""
+    found = spark.read.csv(path, schema="index int, date date, label int", header=True, enforceSchema=False, mode="FAILFAST")
+    return found.select(F.lit(series_id).alias("series_id"), F.col("index").alias("row"), "date", "label")
+
+
 def neighbors_csv(neighbors: DataFrame, rows: DataFrame) -> DataFrame:
     """index, date, rank, neighbor_index, neighbor_date, distance. rows: series_id, row and date."""
     a = rows.select("series_id", "row", "date")

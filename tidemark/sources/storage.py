@@ -8,12 +8,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (local tests), a temporary folder is made and set."""
+    """spark.checkpoint.dir. Where that is unset, a folder is made and set if driver and executors are one
+    process (tests), and it is an error on a cluster, whose machines share no temporary folder."""
     context = spark.sparkContext
     if conf := context.getConf().get("spark.checkpoint.dir", None):
         return conf.rstrip("/")
     known = context._jsc.sc().getCheckpointDir()
     if not known.isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         known = context._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
