@@ -85,6 +85,16 @@ def test_quality_edge_cases(spark):
     assert quality.keep_good(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_keep_good_keeps_what_the_classifier_accepts(spark):
+    texts, labels = quality_rows(80)
+    docs, labels = documents(spark, texts + [None, ""]), spark.createDataFrame(labels, "doc_id long, quality int")
+    docs = docs.unionByName(docs.where("doc_id < 5"))
+    accepted = [r["doc_id"] for r in quality.classify(docs, labels).where("predicted = 1").collect()]
+    kept = quality.keep_good(docs, labels)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(accepted) and 0 < len(accepted) < 87
+    assert kept.columns == docs.columns and quality.keep_good(empty(spark), labels).count() == 0
+
+
 # --- tokens
 
 

@@ -146,8 +146,8 @@ def scored(found: DataFrame, model: Model | None) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every row of docs.
 
-    Null and empty texts are scored as the vector of an empty text; repeated rows get equal scores; a
-    null id isn't held out. Empty tables work: without documents the result is empty, without labels
+    Null and empty texts are scored as the vector of an empty text, texts of any length whole; repeated
+    rows get equal scores; a null id isn't held out. Empty tables work: without documents the result is empty, without labels
     of both kinds every score is 0.5. Other columns are ignored.
     """
     found = stored(vectors(docs), "vectors")
@@ -156,8 +156,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with the columns of docs. The texts are read twice
-    and shuffled never."""
+    """The documents that the classifier accepts, with the columns of docs, whatever their names. The
+    texts are read twice and shuffled never.
+
+    Null and empty texts are judged as an empty text; texts of any length are judged whole; rows with
+    equal texts stay or go together, null ids are like others. Without labels of both kinds all stay; an
+    empty table stays empty.
+    """
     model = fit(vectors(docs), labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
