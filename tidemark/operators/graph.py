@@ -6,14 +6,12 @@ tree is unique and both ways to it give the same edges.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import shared_dir
+from ..sources.storage import stored_table
 from .knn import BLOCK_ROWS, CELLS, matrix, squared
 
 EDGES = "series_id string, a int, b int, w double"
@@ -87,13 +85,6 @@ def edge_table(series: str, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> pa.T
     return pa.table({"series_id": pa.array([series] * len(a), pa.string()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "w": pa.array(w, pa.float64())})
 
 
-def round_table(df: DataFrame, name: str) -> DataFrame:
-    """df as a stored table in the folder that the cluster shares, or a temporary one in tests."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def boruvka(points: DataFrame, core: DataFrame, columns: tuple[str, ...], block: int, edges: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The same tree by rounds: each component takes its least outgoing edge, components are merged.
 
@@ -101,22 +92,22 @@ def boruvka(points: DataFrame, core: DataFrame, columns: tuple[str, ...], block:
     pairs of blocks and never become rows. A round leaves at most half of the components.
     ValueError if the edges don't connect a series.
     """
-    state = round_table(points.select("series_id", F.col("row").alias("node"), F.col("row").alias("comp")), "comp")
+    state = stored_table(points.select("series_id", F.col("row").alias("node"), F.col("row").alias("comp")), "comp")
     tree = None
     while True:
         sizes = state.groupBy("series_id").agg(F.count_distinct("comp").alias("n")).where("n > 1")
-        open_series = sizes.select("series_id").cache()
+        open_series = sizes.select("series_id")
         count = open_series.count()
         if not count:
             return tree if tree is not None else points.sparkSession.createDataFrame([], EDGES)
         now = state.join(open_series, "series_id", "left_semi")
         least = least_by_pairs(points, core, now, columns, block, block_rows) if edges is None else least_of(edges, now)
-        chosen = round_table(least.groupBy("series_id", "comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("series_id", "comp", "e.*"), "chosen")
+        chosen = stored_table(least.groupBy("series_id", "comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("series_id", "comp", "e.*"), "chosen")
         if chosen.select("series_id").distinct().count() < count:
             raise ValueError(f"rows at least {block} apart don't connect the series")
         new = chosen.select("series_id", "a", "b", "w").distinct()
-        tree = round_table(new if tree is None else tree.unionByName(new), "tree")
-        state = round_table(merged(state, chosen), "comp")
+        tree = stored_table(new if tree is None else tree.unionByName(new), "tree")
+        state = stored_table(merged(state, chosen), "comp")
 
 
 def least_of(edges: DataFrame, state: DataFrame) -> DataFrame:
@@ -170,7 +161,7 @@ def merged(state: DataFrame, chosen: DataFrame) -> DataFrame:
     back = both.select("series_id", F.col("y").alias("x"), F.col("x").alias("y"), F.lit(True).alias("mutual"))
     point = both.join(back, ["series_id", "x", "y"], "left").select("series_id", "x", F.when(F.col("mutual") & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("y"))
     while True:
-        point = round_table(point, "point")
+        point = stored_table(point, "point")
         ahead = point.select("series_id", F.col("x").alias("y"), F.col("y").alias("z"))
         jumped = point.join(ahead, ["series_id", "y"])
         if jumped.where("y <> z").isEmpty():
@@ -183,20 +174,20 @@ def merged(state: DataFrame, chosen: DataFrame) -> DataFrame:
 def substrate_tree(points: DataFrame, graph: DataFrame, core: DataFrame, columns: tuple[str, ...], block: int) -> DataFrame:
     """The tree over the graph's edges only, with the least admissible pairs as bridges where they
     leave parts unconnected. For comparison: it can be heavier than spanning_tree."""
-    edges = round_table(mutual_reachability(symmetric_edges(graph), core), "edges")
-    state = round_table(points.select("series_id", F.col("row").alias("node"), F.col("row").alias("comp")), "comp")
+    edges = stored_table(mutual_reachability(symmetric_edges(graph), core), "edges")
+    state = stored_table(points.select("series_id", F.col("row").alias("node"), F.col("row").alias("comp")), "comp")
     tree, bridging = None, False
     while True:
         more = state.groupBy("series_id").agg(F.count_distinct("comp").alias("n")).where("n > 1").count()
         if not more:
             return tree if tree is not None else points.sparkSession.createDataFrame([], EDGES)
         least = least_by_pairs(points, core, state, columns, block, BLOCK_ROWS) if bridging else least_of(edges, state)
-        chosen = round_table(least.groupBy("series_id", "comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("series_id", "comp", "e.*"), "chosen")
+        chosen = stored_table(least.groupBy("series_id", "comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("series_id", "comp", "e.*"), "chosen")
         if chosen.isEmpty():
             if bridging:
                 raise ValueError(f"rows at least {block} apart don't connect the series")
             bridging = True
             continue
         new = chosen.select("series_id", "a", "b", "w").distinct()
-        tree = round_table(new if tree is None else tree.unionByName(new), "tree")
-        state = round_table(merged(state, chosen), "comp")
+        tree = stored_table(new if tree is None else tree.unionByName(new), "tree")
+        state = stored_table(merged(state, chosen), "comp")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ClusterParams
+from ..sources.storage import stored_table
 from .graph import core_distances, spanning_tree, substrate_tree
 from .knn import neighbor_graph
 
@@ -141,8 +142,8 @@ def hdbscan(points: DataFrame, columns: tuple[str, ...], params: ClusterParams =
     """points with label and stability. tree: exact, or substrate (over the neighbour graph only)."""
     if tree not in ("exact", "substrate"):
         raise ValueError("tree is exact or substrate")
-    points = points.cache()
-    graph = neighbor_graph(points, columns, params.k, params.block).cache()
+    points = stored_table(points, "points")
+    graph = stored_table(neighbor_graph(points, columns, params.k, params.block), "neighbors")
     core = core_distances(graph, params.min_samples)
     edges = spanning_tree(points, core, columns, params.block) if tree == "exact" else substrate_tree(points, graph, core, columns, params.block)
     labels = extract_clusters(points, edges, params.min_cluster_size)

@@ -7,6 +7,8 @@ from abc import ABC, abstractmethod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored_table
+
 #: A scale below this is no scale: the column doesn't vary.
 DEAD = 1e-12
 #: Fixed value: the interquartile range of a standard normal distribution.
@@ -32,7 +34,7 @@ class Standardizer(ABC):
 
     def fit(self, rows: DataFrame, columns: tuple[str, ...]) -> Standardizer:
         """Learns the parameters; ValueError if a series has under two rows or a column doesn't vary."""
-        params = self.parameters(rows, columns).cache()
+        params = stored_table(self.parameters(rows, columns), "scales")
         dead = [F.when(~(F.col(f"s_{c}") >= DEAD), F.lit(c)) for c in columns]  # also null and NaN
         bad = params.select("series_id", "n", F.concat_ws(", ", *dead).alias("dead")).where("n < 2 or dead <> ''").head()
         if bad:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         known = context._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
+
+
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """df as a stored table in the folder that the cluster shares: it cuts the lineage, takes no executor's
+    memory, and a lost executor costs a reread."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
