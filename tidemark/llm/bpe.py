@@ -44,7 +44,7 @@ PATTERN = (
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 SCAN_BYTES = 96
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Longer words aren't kept.
 CACHE_CHARS = 64
 NO_RANK = 1 << 60
