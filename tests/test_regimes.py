@@ -62,6 +62,38 @@ def test_one_group_and_many_give_the_same(spark):
     assert knn.knn(both.limit(0), c, 2).count() == 0
 
 
+def test_bounds_lose_no_neighbour(monkeypatch):
+    """Tiles of bounds against every pair: ties, copies, repeated rows, offsets, numbers that aren't finite."""
+    monkeypatch.setattr(knn, "TILE_QUERIES", 7)
+    monkeypatch.setattr(knn, "TILE_POINTS", 13)
+    monkeypatch.setattr(knn, "FIRST_POINTS", 9)
+    rng = np.random.default_rng(5)
+    normal = rng.normal(size=(90, 5))
+    holes = np.where(rng.random(normal.shape) < 0.03, rng.choice([np.nan, np.inf, -np.inf], normal.shape), normal)
+    rows = np.arange(90, dtype=np.int32)
+    for x in (normal, normal.round(), normal * 1e-3 + 1e6, np.repeat(normal[:9], 10, axis=0), np.zeros((90, 5)), normal * 1e-300, normal * 1e150, holes):
+        for k, apart, row in ((1, 1, rows), (4, 0, rows), (4, 6, rows), (100, 1, rows), (3, 1, rows // 3)):
+            with np.errstate(all="ignore"):
+                d2 = knn.squared(x, x)
+            far = np.isfinite(d2) & (np.abs(row[:, None] - row) >= apart)
+            order = [[j for j in np.argsort(d2[i], kind="stable") if far[i, j]][:k] for i in range(90)]
+            want = [(row[i], row[j], d2[i, j]) for i in range(90) for j in order[i]]
+            with np.errstate(all="ignore"):
+                assert list(zip(*knn.best(row, x, row, x, k, apart))) == want
+
+
+def test_few_pairs_are_measured(monkeypatch):
+    """One in a hundred at most, copies or not."""
+    measured, whole = [], knn.squared_pairs
+    monkeypatch.setattr(knn, "squared_pairs", lambda q, x, i, j: measured.append(len(i)) or whole(q, x, i, j))
+    x = np.random.default_rng(6).normal(size=(9000, 64))
+    x[copies := np.arange(0, 9000, 4)] = x[0]
+    row = np.arange(9000, dtype=np.int32)
+    i, j, d2 = knn.best(row, x, row, x, 10, 1)
+    assert len(i) == 90_000 and sum(measured) < 9000**2 / 100
+    assert j[i == 0].tolist() == copies[1:11].tolist() and not d2[i == 0].any()
+
+
 def test_graph_precondition(spark):
     df, c = points(spark, blobs(10, 2))
     with pytest.raises(ValueError, match="more than"):

@@ -1,6 +1,7 @@
 """Nearest neighbours: exact by blocks, for given points, and approximate by hashing.
 
-Exact search compares every query with every point of its series, so pairs are never rows. Series of
+Exact search compares every query with every point of its series, so pairs are never rows: one float32
+product bounds their distances from below, and only those that may be among the k best are measured. Series of
 up to ``SINGLE_ROWS`` rows are one group each, whose rows are shuffled once. Where a series is longer,
 series are cut into blocks of ``BLOCK_ROWS`` rows, each pair of blocks is one group, and a group
 hands back the k best of its points for each query; an ordinary top-k merges the groups. A row then
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, SINGLE_ROWS = 32_768, 8192
 #: Distances held at once.
 CELLS = 1 << 21
+#: Queries and points of a tile of lower bounds, points that set the first limits, and pairs measured at once.
+TILE_QUERIES, TILE_POINTS, FIRST_POINTS, PAIRS = 512, 4096, 1024, 1 << 14
 RANKED = "series_id string, row int, rank int, neighbor_row int, dist double"
 NEIGHBORS = "series_id string, row int, neighbor_row int, d2 double"
 
@@ -37,9 +40,109 @@ def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
+def squared_pairs(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """As squared, and to the bit, of the pairs (i, j) only."""
+    total = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        part = slice(at, at + PAIRS)
+        d = q[i[part]] - x[j[part]]
+        total[part] = np.cumsum(np.square(d, out=d), axis=1, out=d)[:, -1]  # a running sum adds in order
+    return total
+
+
+def with_few_copies(row: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """Which points have fewer than most equal points before them. A repeated row number counts once."""
+    seen: dict[bytes, tuple[int, int | None]] = {}
+    keep = np.ones(len(x), bool)
+    for at, (n, point) in enumerate(zip(row.tolist(), x)):
+        key = point.tobytes()
+        before, last = seen.get(key, (0, None))
+        seen[key] = (before + (n != last), n)
+        keep[at] = seen[key][0] <= most
+    return keep
+
+
+class Bounds:
+    """Lower bounds of squared distances by one product of float32 matrices, whatever its rounding.
+
+    Rows are scaled by their largest number and centred. With an extra column a product is
+    |x|^2 - 2 q x; its error is under wide * (|q|^2 + |x|^2), which is taken off, and slack is for what centring
+    rounds and for numbers too small for float32.
+    """
+
+    def __init__(self, q: np.ndarray, x: np.ndarray, scale: float):
+        wide = (x.shape[1] + 16) * 2.0**-22
+        centre = (x / scale).mean(axis=0)
+        q, x = q / scale - centre, x / scale - centre
+        self.scale, self.more = scale, 1 + wide
+        self.own = (1 - wide) * np.square(q).sum(axis=1) - (2.0**-48) ** 2 * x.shape[1] / wide - 1e-30
+        self.left = np.column_stack([q, np.ones(len(q))]).astype(np.float32)
+        self.right = np.column_stack([-2 * x, (1 - wide) * np.square(x).sum(axis=1)]).astype(np.float32)
+
+    def products(self, of: slice, to: slice) -> np.ndarray:
+        return self.left[of] @ self.right[to].T
+
+    def most(self, of: slice, limit: np.ndarray) -> np.ndarray:
+        """The products of all points within limit, a squared distance, are at most this."""
+        return (np.square(np.sqrt(limit) / self.scale) * self.more - self.own[of]).astype(np.float32)
+
+
 def best(q_row: np.ndarray, q: np.ndarray, x_row: np.ndarray, x: np.ndarray, k: int, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query rows, neighbour rows and squared distances of the k nearest at least apart rows away
-    (0: no limit). x_row ascends."""
+    (0: no limit). x_row ascends.
+
+    Lower bounds of all pairs by tiles; pairs that a bound lets into the k best so far are measured
+    column by column. Rows with numbers that aren't finite have no neighbours and are none.
+    """
+    near = k + max(0, 2 * apart - 1)  # so many points have k that are far enough, whatever the query
+    mine, there = np.isfinite(q).all(axis=1), np.isfinite(x).all(axis=1)
+    q_row, q, x_row, x = q_row[mine], q[mine], x_row[there], x[there]
+    there = with_few_copies(x_row, x, near)  # of equal points only the first can be neighbours
+    x_row, x = x_row[there], x[there]
+    if not len(q) or not len(x):
+        return q_row[:0], x_row[:0], np.zeros(0)
+    scale = max(np.abs(q).max(), np.abs(x).max()) or 1.0
+    if not 1e-100 < scale < 1e100:  # squares might leave the range of numbers
+        return best_of_all(q_row, q, x_row, x, k, apart)
+    bounds, out = Bounds(q, x, scale), []
+    for at in range(0, len(q), TILE_QUERIES):
+        of = slice(at, at + TILE_QUERIES)
+        rows, own = q_row[of], q[of]
+        limit = np.full(len(rows), np.inf)
+        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for lo in range(0, len(x), TILE_POINTS):
+            low = bounds.products(of, slice(lo, lo + TILE_POINTS))
+            if not lo and (n := min(near, low.shape[1])) >= k:  # any k points far enough limit the k best
+                some = np.argpartition(low[:, :FIRST_POINTS], min(n, FIRST_POINTS) - 1, axis=1)[:, :n]
+                d2 = squared_pairs(own, x, np.repeat(np.arange(len(rows)), some.shape[1]), some.ravel()).reshape(some.shape)
+                d2[np.abs(rows[:, None] - x_row[some]) < apart] = np.inf
+                limit = np.partition(d2, k - 1, axis=1)[:, k - 1] if some.shape[1] >= k else limit
+            hits = np.flatnonzero(low <= bounds.most(of, limit)[:, None])
+            hi, hj = np.divmod(hits, low.shape[1])
+            hj += lo
+            if apart:
+                far = np.abs(rows[hi] - x_row[hj]) >= apart
+                hi, hj = hi[far], hj[far]
+            if len(hi):
+                i, j, d = np.concatenate([i, hi]), np.concatenate([j, hj]), np.concatenate([d, squared_pairs(own, x, hi, hj)])
+                i, j, d, place = first(i, j, d, k)
+                full = place == k - 1
+                limit[i[full]] = d[full]
+        out.append((rows[i], x_row[j], d))
+    return tuple(np.concatenate([o[c] for o in out]) for c in range(3))
+
+
+def first(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k pairs of each i that are first by d and j, in order, and their places."""
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    keep = place < k
+    return i[keep], j[keep], d[keep], place[keep]
+
+
+def best_of_all(q_row: np.ndarray, q: np.ndarray, x_row: np.ndarray, x: np.ndarray, k: int, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best, measuring every pair."""
     out = []
     for at in range(0, len(q), step := max(1, CELLS // max(1, len(x)))):
         rows = q_row[at : at + step]
@@ -49,12 +152,8 @@ def best(q_row: np.ndarray, q: np.ndarray, x_row: np.ndarray, x: np.ndarray, k:
         n = min(k, len(x))
         limit = np.partition(d2, n - 1, axis=1)[:, n - 1] if n else np.zeros(len(rows))
         i, j = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))  # with all that tie for the last place
-        d = d2[i, j]
-        order = np.lexsort((j, d, i))
-        i, j, d = i[order], j[order], d[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = place < n
-        out.append((rows[i[keep]], x_row[j[keep]], d[keep]))
+        i, j, d, _ = first(i, j, d2[i, j], n)
+        out.append((rows[i], x_row[j], d))
     return tuple(np.concatenate([o[c] for o in out]) for c in range(3)) if out else (q_row[:0], x_row[:0], np.zeros(0))
 
 
