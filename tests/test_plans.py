@@ -3,6 +3,7 @@
 import re
 
 from fixtures import bars, points, walk
+from pyspark.sql import functions as F
 
 from tidemark.operators import features, knn, validate
 from tidemark.schema import FeatureParams
@@ -43,3 +44,10 @@ def test_neighbours_never_make_pairs(spark, tmp_path):
 def test_validation_shares_its_exchanges(spark, tmp_path):
     labels = stored(spark.createDataFrame([("all", i, i % 2) for i in range(20)], "series_id string, row int, label int"), tmp_path)
     assert "NestedLoop" not in plan(validate.recurrence(labels)) and plan(validate.persistence(labels)).count("Exchange") <= 2
+
+
+def test_agreement_reads_its_pairs_once(spark):
+    """They may come from a search of neighbours, which would be made three times."""
+    df, c = points(spark, [(i, i % 3) for i in range(30)])
+    near = knn.knn(df, c, 1).select((F.col("row") % 3).alias("a"), (F.col("neighbor_row") % 3).alias("b"))
+    assert plan(validate.adjusted_rand(near, "a", "b")).count("FlatMapGroupsInArrow") == 1

@@ -89,11 +89,13 @@ def counts(labels: DataFrame) -> DataFrame:
 
 
 def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """ari of two labels of the same rows; noise is a label like others. 1 where both have one class."""
+    """ari of two labels of the same rows; noise is a label like others. 1 where both have one class.
+    pairs is read once: it may be the end of a long search."""
     two = lambda n: n * (n - 1) / 2
     cells = pairs.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
-    part = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias(f"s_{c}"))
-    sums = cells.agg(F.sum(two(F.col("n"))).alias("s"), F.sum("n").alias("total")).join(part(a)).join(part(b))  # one row each
+    sums = cells.cube(a, b).agg(F.sum("n").alias("n"), F.grouping_id().alias("over"))  # 0: cells, 1: of a, 2: of b, 3: all
+    of = lambda over, value, name: F.sum(F.when(F.col("over") == over, value)).alias(name)
+    sums = sums.agg(of(0, two(F.col("n")), "s"), of(1, two(F.col("n")), f"s_{a}"), of(2, two(F.col("n")), f"s_{b}"), of(3, F.col("n"), "total"))
     expected = F.col(f"s_{a}") * F.col(f"s_{b}") / two(F.col("total"))
     most = (F.col(f"s_{a}") + F.col(f"s_{b}")) / 2
     return sums.select(F.when(most == expected, 1.0).otherwise((F.col("s") - expected) / (most - expected)).alias("ari"))
