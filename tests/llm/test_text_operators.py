@@ -555,6 +555,26 @@ def test_context_helps_on_held_out_documents(spark):
     assert mean(model) > mean(untrained) + 0.05
 
 
+def test_every_position_is_trained_on(spark):
+    """What only the seventh word of a document shows is learned, as is what only its last but one shows."""
+    r = random.Random(12)
+    texts = []
+    for _ in range(4000):
+        words = [f"f{r.randrange(30)}" for _ in range(16)]
+        for at, name in ((5, "key"), (13, "box")):
+            m = r.randrange(4)
+            words[at : at + 2] = f"{name}{m}", f"{name}lock{m}"
+        texts.append(" ".join(words))
+    model = lm_score.train(documents(spark, texts).coalesce(1))
+    ids = {w: int(s) for w, s in zip(model.vocabulary.words, model.vocabulary.symbol)}
+    untrained = lm_score.Network.of_counts(model.vocabulary.total)
+    tokens = np.array([[ids[w] for w in t.split()] for t in texts[:200]])
+    for at in (6, 14):
+        around = np.column_stack([tokens[:, at + d] if at + d < 16 else 0 * tokens[:, 0] for d in (-2, -1, 1, 2)])
+        gain = model.network.log_probabilities(around, tokens[:, at]) - untrained.log_probabilities(around, tokens[:, at])
+        assert gain.mean() > 1
+
+
 def test_averages_weigh_tasks_by_their_windows(spark, monkeypatch):
     """Without steps every task hands back what it got, however many there are."""
     monkeypatch.setattr(lm_score, "RATE", 0.0)

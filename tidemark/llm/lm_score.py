@@ -8,8 +8,8 @@ depending on the context; output weights are the input embeddings. A grouped wor
 share of the group's count in the corpus. A document's score is the sum over its words of the log
 probability of the word given both sides.
 
-What is gathered grows with the corpus: the count of every word, and one in ``STRIDE`` of all masked
-positions in each of ``ROUNDS`` rounds of training. A round is local descent in numpy: every task starts
+What is gathered grows with the corpus: the count of every word, and every masked position, which is trained
+on in one of ``ROUNDS`` rounds. A round is local descent in numpy: every task starts
 from the same weights, descends over its own documents' windows and hands back its weights, which are
 averaged in two steps on the executors. The driver holds one model (under 2 MB), whatever the corpus.
 
@@ -42,8 +42,10 @@ CLASSES = SYMBOLS // CLASS
 VOCABULARY = 100_000
 #: Steps of word counts to a doubling, for the least count of the vocabulary.
 COUNT_STEPS = 16
-#: Training: of how many positions a round takes one, rounds, windows of a step, step size, seed.
-STRIDE, ROUNDS, BATCH, RATE, SEED = 16, 2, 4096, 0.15, 7
+#: Training: rounds, each over its own share of all positions; windows of a step, step size, seed.
+ROUNDS, BATCH, RATE, SEED = 2, 4096, 0.15, 7
+#: Logits under this need no shift before they go into an exponential of 32 bits.
+SMALL_LOGIT = 80
 #: Groups in which the tasks' weights are averaged first.
 FIRST_AVERAGES = 64
 #: Steps of a summed logarithm: sums of whole steps are the same in any order.
@@ -192,64 +194,88 @@ class Network:
         """What a token adds to the hidden layer at each place: 2 SIDE x SYMBOLS x WIDTH."""
         return np.matmul(self.embed[None], self.place)
 
+    def with_biases(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Output weights of classes and of tokens with their biases as a last column, and whether all logits
+        are so small that softmax needs no shift (hidden numbers are between -1 and 1)."""
+        classes, own = np.column_stack([self.classes, self.class_bias]), np.column_stack([self.embed, self.token_bias])
+        return classes, own, all(np.abs(w).sum(axis=1).max() < SMALL_LOGIT for w in (classes, own))
+
+    def hidden(self, sums: np.ndarray) -> np.ndarray:
+        """The hidden layer and a last column of ones, for the biases. It overwrites sums, of what neighbours add."""
+        sums += self.bias
+        out = np.ones((len(sums), WIDTH + 1), sums.dtype)
+        np.tanh(sums, out=out[:, :WIDTH])
+        return out
+
     def log_probabilities(self, around: np.ndarray, tokens: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
         """The log probability of each token, given its neighbours."""
-        tables = self.tables() if tables is None else tables
-        hidden = np.take(tables[0], around[:, 0], axis=0)
-        for k in range(1, 2 * SIDE):
-            hidden += np.take(tables[k], around[:, k], axis=0)
-        hidden += self.bias
-        np.tanh(hidden, out=hidden)
+        classes, own, small = self.with_biases()
         of = tokens // CLASS
         order = np.argsort(of.astype(np.int16), kind="stable")  # small numbers sort faster
-        hidden, of, tokens = hidden[order], of[order], tokens[order]
-        out = picked(hidden @ self.classes.T + self.class_bias, of)
-        for c, part in parts(of):
-            own = slice(c * CLASS, (c + 1) * CLASS)
-            out[part] += picked(hidden[part] @ self.embed[own].T + self.token_bias[own], tokens[part] - c * CLASS)
+        around, of, tokens = around[order], of[order], tokens[order]
+        tables = self.tables() if tables is None else tables
+        sums = np.take(tables[0], around[:, 0], axis=0)
+        for k in range(1, 2 * SIDE):
+            sums += np.take(tables[k], around[:, k], axis=0)
+        hidden = self.hidden(sums)
+        out = picked(hidden @ classes.T, of, small)
+        out += picked(within_classes(hidden, own, of), tokens % CLASS, small)
         back = np.empty_like(out)
         back[order] = out
         return back
 
     def gradient(self, around: np.ndarray, tokens: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """The mean of minus the log probabilities, and its derivative by each of values()."""
+        classes, own, small = self.with_biases()
+        n = len(tokens)
         of = tokens // CLASS
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.int16), kind="stable")
         around, of, tokens = around[order], of[order], tokens[order]
-        inputs = [self.embed[around[:, k]] for k in range(2 * SIDE)]
-        hidden = np.tanh(sum(x @ w for x, w in zip(inputs, self.place)) + self.bias)
-        embed, token_bias, n = np.zeros_like(self.embed), np.zeros_like(self.token_bias), float(len(tokens))
-        loss, error = descent(hidden @ self.classes.T + self.class_bias, of, n)
-        back = error @ self.classes
+        inputs = [np.take(self.embed, around[:, k], axis=0) for k in range(2 * SIDE)]
+        hidden = self.hidden(sum(x @ w for x, w in zip(inputs, self.place)))
+        loss, error = descent(hidden @ classes.T, of, n, small)
+        more, inner = descent(within_classes(hidden, own, of), tokens % CLASS, n, small)
+        back, by_token = np.empty((n, WIDTH), hidden.dtype), np.zeros_like(own)
         for c, part in parts(of):
-            own = slice(c * CLASS, (c + 1) * CLASS)
-            more, inner = descent(hidden[part] @ self.embed[own].T + self.token_bias[own], tokens[part] - c * CLASS, n)
-            loss += more
-            back[part] += inner @ self.embed[own]
-            embed[own] += inner.T @ hidden[part]
-            token_bias[own] += inner.sum(axis=0)
-        back *= 1 - hidden**2
-        place = np.stack([x.T @ back for x in inputs])
-        for k in range(2 * SIDE):
-            add_rows(embed, around[:, k], back @ self.place[k].T)
-        return loss, [embed, place, back.sum(axis=0), error.T @ hidden, error.sum(axis=0), token_bias]
-
-
-def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log softmax of each row at one place. It overwrites logits."""
-    logits -= logits.max(axis=1, keepdims=True)
+            to = slice(c * CLASS, (c + 1) * CLASS)
+            np.matmul(inner[part], self.embed[to], out=back[part])
+            np.matmul(inner[part].T, hidden[part], out=by_token[to])
+        back += error @ self.classes
+        back *= 1 - hidden[:, :WIDTH] ** 2
+        place, embed, cells = np.stack([x.T @ back for x in inputs]), by_token[:, :WIDTH].ravel(), np.arange(WIDTH)
+        for k in range(2 * SIDE):  # tokens repeat; at is fast in one dimension only
+            np.add.at(embed, (around[:, k, None] * WIDTH + cells).ravel(), (back @ self.place[k].T).ravel())
+        by_class = error.T @ hidden
+        return loss + more, [embed.reshape(SYMBOLS, WIDTH), place, back.sum(axis=0), by_class[:, :WIDTH], by_class[:, WIDTH], by_token[:, WIDTH]]
+
+
+def within_classes(hidden: np.ndarray, own: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The logits of the tokens of each row's class; of ascends."""
+    out = np.empty((len(of), CLASS), hidden.dtype)
+    for c, part in parts(of):
+        np.matmul(hidden[part], own[c * CLASS : (c + 1) * CLASS].T, out=out[part])
+    return out
+
+
+def picked(logits: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+    """The log softmax of each row at one place. It overwrites logits. small: as of with_biases."""
+    if not small:
+        logits -= logits.max(axis=1, keepdims=True)
     own = logits[np.arange(len(at)), at]
-    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+    return own - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
 
 
-def descent(logits: np.ndarray, at: np.ndarray, n: float) -> tuple[float, np.ndarray]:
-    """Minus the sum of log softmax at the places, over n, and its derivative by the logits."""
+def descent(logits: np.ndarray, at: np.ndarray, n: int, small: bool) -> tuple[float, np.ndarray]:
+    """Minus the sum of log softmax at the places, over n, and its derivative by the logits, in their place."""
+    if not small:
+        logits -= logits.max(axis=1, keepdims=True)
     rows = np.arange(len(at))
-    share = np.exp(logits - logits.max(axis=1, keepdims=True))
-    share /= share.sum(axis=1, keepdims=True)
-    loss = -float(np.log(np.maximum(share[rows, at], 1e-30)).sum()) / n
-    share[rows, at] -= 1
-    return loss, share / n
+    own = logits[rows, at]
+    total = np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)
+    loss = float((np.log(total) - own).sum()) / n
+    logits *= (1 / (n * total))[:, None]
+    logits[rows, at] -= 1 / n
+    return loss, logits
 
 
 def parts(of: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -259,26 +285,20 @@ def parts(of: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(of[a]), slice(a, b)
 
 
-def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """to[at] += rows, where at may repeat."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    to[at[starts]] += np.add.reduceat(rows[order], starts, axis=0)
-
-
 class Descent:
     """Steps whose size falls with the gradients so far, for each number on its own."""
 
     def __init__(self, network: Network, rate: float):
         self.network, self.rate = network, rate
         self.squares = [np.full_like(v, 1e-6) for v in network.values()]
+        self.room = [np.empty_like(v) for v in network.values()]
 
     def step(self, around: np.ndarray, tokens: np.ndarray) -> float:
         loss, gradients = self.network.gradient(around, tokens)
-        for v, s, g in zip(self.network.values(), self.squares, gradients):
-            s += g * g
-            v -= self.rate * g / np.sqrt(s)
+        for v, s, room, g in zip(self.network.values(), self.squares, self.room, gradients):
+            s += np.multiply(g, g, out=room)
+            np.divide(g, np.sqrt(s, out=room), out=room)
+            v -= np.multiply(room, self.rate, out=room)
         return loss
 
 
@@ -313,7 +333,8 @@ def tokens_of(codes: pa.Scalar) -> np.ndarray:
 
 
 def one_round(encoded: DataFrame, network: Network, offset: int) -> Network:
-    """The network after a round over the positions that leave offset when divided by STRIDE."""
+    """The network after a round over the positions that leave offset when divided by ROUNDS: the rounds
+    together train on every position once."""
     shared, rate = encoded.sparkSession.sparkContext.broadcast(network.packed()), RATE
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,15 +347,16 @@ def one_round(encoded: DataFrame, network: Network, offset: int) -> Network:
             held.clear()
             order = np.random.default_rng(SEED).permutation(len(tokens))  # neighbours in a text go to different steps
             for at in range(0, len(order), BATCH):
-                steps.step(around[order[at : at + BATCH]], tokens[order[at : at + BATCH]])
+                some = order[at : at + BATCH]
+                steps.step(around[some].astype(np.int64), tokens[some].astype(np.int64))
             return len(order)
 
         for batch in batches:
             task = batch.column(1)[0].as_py() if batch.num_rows else task
             for codes in batch.column(0):
-                token = tokens_of(codes)
+                token = np.frombuffer(codes.as_py(), np.int16)  # a quarter of the memory
                 if len(token) > offset:
-                    held.append((windows(token)[offset::STRIDE], token[offset::STRIDE]))
+                    held.append((windows(token)[offset::ROUNDS], token[offset::ROUNDS]))
             if held:
                 seen += go()
         if seen:
@@ -377,7 +399,7 @@ def train(docs: DataFrame) -> Model:
 def _trained(vocabulary: Vocabulary, encoded: DataFrame) -> Model:
     network = Network.of_counts(vocabulary.total)
     for k in range(ROUNDS):
-        network = one_round(encoded, network, k * STRIDE // ROUNDS)
+        network = one_round(encoded, network, k)
     return Model(vocabulary, network)
 
 
