@@ -9,6 +9,7 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import bpe, decontaminate, html_extract, lm_score, pii, quality, url_filter
@@ -575,6 +576,47 @@ def test_every_position_is_trained_on(spark):
         assert gain.mean() > 1
 
 
+def test_rounds_take_every_position_once_with_its_neighbours():
+    documents, at = [], 1
+    for n in (0, 1, 2, 31, 32, 33, 500, 3000, 64, 5):
+        documents.append(np.arange(at, at + n, dtype=np.int16))
+        at += n
+    want = {}
+    for tokens in documents:
+        around = np.concatenate([[0, 0], tokens, [0, 0]])
+        want |= {int(t): [*around[k : k + 2].tolist(), *around[k + 3 : k + 5].tolist()] for k, t in enumerate(tokens)}
+    found, rounds = [], [lm_score.in_runs(documents, k) for k in range(lm_score.ROUNDS)]
+    for line, places in rounds:
+        assert len(places) > len(want) / 3
+        assert len(line) < (1 + 5 / lm_score.RUN) * len(places) + 5 * len(documents)  # what is shared is there once
+        found += [(int(line[p]), line[p + lm_score.NEAR].tolist()) for p in places]
+    assert len(found) == len(want) and dict(found) == want
+    assert [len(x) for x in lm_score.in_runs([], 0)] == [lm_score.SIDE, 0]
+
+
+def test_shared_neighbours_have_the_sum_of_their_slopes():
+    rng = np.random.default_rng(4)
+    network = lm_score.Network.of_counts(rng.integers(1, 50, lm_score.SYMBOLS).astype(float))
+    network = lm_score.Network(*((v + rng.normal(0, 0.1, v.shape)) for v in network.values()))
+    line, places = lm_score.in_runs([rng.integers(1, 40, n).astype(np.int16) for n in (200, 3, 1, 90)], 0)
+    line = line.astype(np.int64)
+    around, tokens = line[places[:, None] + lm_score.NEAR], line[places]
+    apart = [network.gradient(around[k : k + 1], tokens[k : k + 1]) for k in range(len(tokens))]
+    loss, gradients = network.gradient_at(line, places)
+    assert loss == pytest.approx(np.mean([x[0] for x in apart]))
+    for k, g in enumerate(gradients):
+        assert np.allclose(g, np.mean([x[1][k] for x in apart], axis=0), rtol=1e-9, atol=1e-12)
+
+
+def test_arrow_splits_and_ends_words_as_python_does():
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    texts = [*ODD, None, "", " ", " a", "b ", "\u3000c\x1cd\x85", "\u0130 \u03a3\u0391\u03a3 x", " ".join(every), every]
+    n, words = lm_score.split_words(pa.array(texts, pa.string()))
+    want = [lm_score.words_of(t) for t in texts]
+    assert n.tolist() == [len(w) for w in want] and words.to_pylist() == sum(want, [])
+    assert lm_score.ending_symbols(words).tolist() == [lm_score.ending_symbol(w) for w in words.to_pylist()]
+
+
 def test_averages_weigh_tasks_by_their_windows(spark, monkeypatch):
     """Without steps every task hands back what it got, however many there are."""
     monkeypatch.setattr(lm_score, "RATE", 0.0)

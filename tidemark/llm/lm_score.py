@@ -19,14 +19,15 @@ others stay a distributed table that is joined with the documents' words.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,18 +43,25 @@ CLASSES = SYMBOLS // CLASS
 VOCABULARY = 100_000
 #: Steps of word counts to a doubling, for the least count of the vocabulary.
 COUNT_STEPS = 16
-#: Training: rounds, each over its own share of all positions; windows of a step, step size, seed.
-ROUNDS, BATCH, RATE, SEED = 2, 4096, 0.15, 7
+#: Where a position's neighbours are, from it.
+NEAR = np.array([d for d in range(-SIDE, SIDE + 1) if d])
+#: Training: rounds, each over its own share of all positions; positions of a run, which stay together; positions
+#: of a step, step size, seed.
+ROUNDS, RUN, BATCH, RATE, SEED = 2, 32, 4096, 0.15, 7
+#: Rows whose products with the classes are made at once, so that they stay in a core's cache.
+ROWS = 1024
 #: Logits under this need no shift before they go into an exponential of 32 bits.
 SMALL_LOGIT = 80
-#: Groups in which the tasks' weights are averaged first.
-FIRST_AVERAGES = 64
+#: Groups in which the tasks' weights are averaged first, each in its own task.
+FIRST_AVERAGES = 16
 #: Steps of a summed logarithm: sums of whole steps are the same in any order.
 LOG_STEPS = 2**30
 #: Documents and words scored at once.
-SCORED_ROWS, SCORED = 200, 1 << 15
-#: Words counted or remembered in one worker before it hands them on.
-HELD_WORDS = 500_000
+SCORED_ROWS, SCORED = 200, 1 << 13
+#: Free memory that a worker may keep within a task.
+KEPT_BYTES = 256 << 20
+#: Bytes of words that a worker gathers before it counts them and hands the counts on.
+HELD_BYTES = 96 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -61,42 +69,46 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """words_of every text, in Arrow: how many each has, and all of them after one another."""
+    lists = pc.utf8_split_whitespace(pa.array([(t.as_py() or "").lower() for t in texts], pa.string()))
+    words, ends = lists.values, lists.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at a text's ends leaves empty words
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return np.diff(before[ends]), words.filter(full) if before[-1] < len(words) else words
+
+
 def ending_symbol(word: str) -> int:
     """The token of a word that has none of its own, by its last characters."""
     return 1 + OWN + zlib.crc32(word[-LAST:].encode()) % BUCKETS
 
 
+def ending_symbols(words: pa.Array) -> np.ndarray:
+    """ending_symbol of every word, made once for each ending."""
+    endings = pc.utf8_slice_codeunits(words, -LAST, None).dictionary_encode()
+    return np.array([ending_symbol(e) for e in endings.dictionary.to_pylist()], np.int64)[endings.indices.to_numpy()]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and n over all documents. Each task sums its own words first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch):
-                for text in part.column(0):
-                    counts.update(words_of(text.as_py()))
-                if len(counts) > HELD_WORDS:
-                    yield as_batch(counts)
-                    counts = Counter()
-        yield as_batch(counts)
+                held.append(split_words(part.column(0))[1])
+                size += held[-1].nbytes
+                if size > HELD_BYTES:
+                    yield as_batch(held)
+                    held, size = [], 0
+        yield as_batch(held)
 
-    def as_batch(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+    def as_batch(held: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(pa.chunked_array(held, pa.string()).value_counts().flatten(), names=["word", "n"])
 
     return map_batches(narrowed(docs, "text"), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Ids(dict):
-    """word to id: a vocabulary word's number, or the vocabulary's size plus the symbol."""
-
-    def __init__(self, words: list[str]):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.size = len(words)
-
-    def __missing__(self, word: str) -> int:
-        return self.size + ending_symbol(word)
-
-
 @dataclass
 class Vocabulary:
     """words by falling count; by id (also size + symbol for other words): symbol and log probability
@@ -123,12 +135,13 @@ class Vocabulary:
             if room < 0:
                 break
             least = r["step"]
-        known = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()}
-        others = counts.where("n > 1")
+        known, others = {}, counts.where("n > 1")
         if least is not None:
             top = counts.where(step >= least).toPandas()
-            known |= dict(zip(top["word"], top["n"]))
+            known = dict(zip(top["word"], top["n"]))
             others = others.where(step < least)
+        if len(known) < OWN:  # else they are among those
+            known |= {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()}
         words = sorted(known, key=lambda w: (-known[w], w))
         n = np.array([known[w] for w in words], float)
         symbol = np.array([1 + i if i < OWN else ending_symbol(w) for i, w in enumerate(words)], np.int64)
@@ -146,15 +159,49 @@ class Vocabulary:
         """Without the table, which stays on the driver."""
         return self.__dict__ | {"others": None}
 
-    def ids(self) -> Ids:
-        return Ids(self.words)
-
-
-def windows(symbols: np.ndarray) -> np.ndarray:
-    """For each word its neighbours, SIDE before and SIDE after it; beyond the ends is the boundary, 0."""
-    around = np.concatenate([np.zeros(SIDE, symbols.dtype), symbols, np.zeros(SIDE, symbols.dtype)])
-    n = len(symbols)
-    return np.column_stack([around[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE])
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """Each word's id, the places of those that aren't in the vocabulary, and these words."""
+        found = pc.index_in(words, value_set=pa.array(self.words, pa.string()))
+        ids = found.fill_null(0).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        others = words.take(pa.array(missing)).dictionary_encode()
+        ids[missing] = len(self.words) + ending_symbols(others.dictionary)[others.indices.to_numpy()]
+        return ids, missing, others
+
+
+def in_line(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' tokens after one another, SIDE boundaries (0) around each, and the places where documents begin."""
+    begins = np.cumsum([SIDE] + [len(d) + SIDE for d in documents])
+    line = np.zeros(begins[-1], documents[0].dtype if documents else np.int16)
+    for at, tokens in zip(begins.tolist(), documents):
+        line[at : at + len(tokens)] = tokens
+    return line, begins[:-1]
+
+
+def in_runs(documents: list[np.ndarray], offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """A line and the places in it that round offset trains on, by runs of RUN positions in random order, each with
+    its neighbours around it. A document's runs take turns between the rounds, its checksum says who begins."""
+    line, begins = in_line(documents)
+    starts, stops = [], []
+    for begin, tokens in zip(begins.tolist(), documents):
+        stop, first = begin + len(tokens), (offset - zlib.crc32(tokens.tobytes())) % ROUNDS
+        some = np.arange(begin + RUN * first, stop, RUN * ROUNDS)
+        starts.append(some)
+        stops.append(np.minimum(some + RUN, stop))
+    if not starts:
+        return line, np.zeros(0, np.int64)
+    starts, stops = np.concatenate(starts), np.concatenate(stops)
+    order = np.random.default_rng(SEED).permutation(len(starts))  # neighbours in a text go to different steps, but for runs
+    starts, n = starts[order], (stops - starts)[order]
+    ends, whole = np.cumsum(n), np.cumsum(n + 2 * SIDE)
+    mixed = line[np.repeat(starts + n + SIDE - whole, n + 2 * SIDE) + np.arange(whole[-1] if len(n) else 0)]
+    return mixed, np.repeat(whole - SIDE - ends, n) + np.arange(ends[-1] if len(n) else 0)
+
+
+def alone(around: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A line of tokens, each between its own neighbours, and the tokens' places."""
+    line = np.column_stack([around[:, :SIDE], tokens, around[:, SIDE:]]).ravel()
+    return line, np.arange(SIDE, len(line), 2 * SIDE + 1)
 
 
 @dataclass
@@ -195,10 +242,14 @@ class Network:
         return np.matmul(self.embed[None], self.place)
 
     def with_biases(self) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Output weights of classes and of tokens with their biases as a last column, and whether all logits
-        are so small that softmax needs no shift (hidden numbers are between -1 and 1)."""
-        classes, own = np.column_stack([self.classes, self.class_bias]), np.column_stack([self.embed, self.token_bias])
-        return classes, own, all(np.abs(w).sum(axis=1).max() < SMALL_LOGIT for w in (classes, own))
+        """Output weights of classes (WIDTH + 1 x CLASSES) and of each class's tokens (CLASSES x WIDTH + 1 x CLASS)
+        with their biases as a last row, and whether all logits are so small that softmax needs no shift (hidden
+        numbers are between -1 and 1)."""
+        classes, own = np.empty((WIDTH + 1, CLASSES), self.embed.dtype), np.empty((CLASSES, WIDTH + 1, CLASS), self.embed.dtype)
+        classes[:WIDTH], classes[WIDTH] = self.classes.T, self.class_bias
+        own[:, :WIDTH] = self.embed.reshape(CLASSES, CLASS, WIDTH).transpose(0, 2, 1)  # small products are faster this way round
+        own[:, WIDTH] = self.token_bias.reshape(CLASSES, CLASS)
+        return classes, own, all(np.abs(w).sum(axis=-2).max() < SMALL_LOGIT for w in (classes, own))
 
     def hidden(self, sums: np.ndarray) -> np.ndarray:
         """The hidden layer and a last column of ones, for the biases. It overwrites sums, of what neighbours add."""
@@ -207,53 +258,81 @@ class Network:
         np.tanh(sums, out=out[:, :WIDTH])
         return out
 
-    def log_probabilities(self, around: np.ndarray, tokens: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
+    def log_probabilities(self, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """The log probability of each token, given its neighbours."""
-        classes, own, small = self.with_biases()
-        of = tokens // CLASS
-        order = np.argsort(of.astype(np.int16), kind="stable")  # small numbers sort faster
-        around, of, tokens = around[order], of[order], tokens[order]
-        tables = self.tables() if tables is None else tables
-        sums = np.take(tables[0], around[:, 0], axis=0)
+        return self.log_probabilities_at(*alone(around, tokens), self.tables(), *self.with_biases())
+
+    def log_probabilities_at(self, line: np.ndarray, at: np.ndarray, tables: np.ndarray, classes: np.ndarray, own: np.ndarray, small: bool) -> np.ndarray:
+        """The log probability of the token at each of the line's places, given its neighbours there."""
+        order, of, tokens = by_class(line[at])
+        near = at[order]
+        sums = np.take(tables[0], line[near + NEAR[0]], axis=0)
         for k in range(1, 2 * SIDE):
-            sums += np.take(tables[k], around[:, k], axis=0)
+            sums += np.take(tables[k], line[near + NEAR[k]], axis=0)
         hidden = self.hidden(sums)
-        out = picked(hidden @ classes.T, of, small)
-        out += picked(within_classes(hidden, own, of), tokens % CLASS, small)
+        out = picked(within_classes(hidden, own, of), tokens % CLASS, small)
+        for a in range(0, len(at), ROWS):
+            part = slice(a, a + ROWS)
+            out[part] += picked(hidden[part] @ classes, of[part], small)
         back = np.empty_like(out)
         back[order] = out
         return back
 
     def gradient(self, around: np.ndarray, tokens: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """The mean of minus the log probabilities, and its derivative by each of values()."""
+        return self.gradient_at(*alone(around, tokens))
+
+    def gradient_at(self, line: np.ndarray, at: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """gradient of the tokens at different places of the line. A token that is the neighbour of several
+        places is gathered into their slope first and then added to its embedding's once."""
         classes, own, small = self.with_biases()
-        n = len(tokens)
-        of = tokens // CLASS
-        order = np.argsort(of.astype(np.int16), kind="stable")
-        around, of, tokens = around[order], of[order], tokens[order]
-        inputs = [np.take(self.embed, around[:, k], axis=0) for k in range(2 * SIDE)]
-        hidden = self.hidden(sum(x @ w for x, w in zip(inputs, self.place)))
-        loss, error = descent(hidden @ classes.T, of, n, small)
-        more, inner = descent(within_classes(hidden, own, of), tokens % CLASS, n, small)
-        back, by_token = np.empty((n, WIDTH), hidden.dtype), np.zeros_like(own)
+        n = len(at)
+        order, of, tokens = by_class(line[at])
+        at = at[order]
+        place = self.place.reshape(-1, WIDTH)
+        inputs = np.take(self.embed, line[at[:, None] + NEAR], axis=0).reshape(n, -1)
+        hidden = self.hidden(inputs @ place)
+        inner = within_classes(hidden, own, of)
+        loss, shares = descent(inner, tokens % CLASS, n, small)
+        back, by_token, by_classes = np.empty((n, WIDTH), hidden.dtype), np.zeros((SYMBOLS, WIDTH + 1), hidden.dtype), np.zeros((CLASSES, WIDTH + 1), hidden.dtype)
+        weighted = hidden * shares
         for c, part in parts(of):
             to = slice(c * CLASS, (c + 1) * CLASS)
-            np.matmul(inner[part], self.embed[to], out=back[part])
-            np.matmul(inner[part].T, hidden[part], out=by_token[to])
-        back += error @ self.classes
+            np.dot(inner[part], self.embed[to], out=back[part])
+            np.dot(inner[part].T, weighted[part], out=by_token[to])
+        back *= shares
+        for a in range(0, n, ROWS):
+            part = slice(a, a + ROWS)
+            error = hidden[part] @ classes
+            more, shares = descent(error, of[part], n, small)
+            loss += more
+            back[part] += (error @ self.classes) * shares
+            by_classes += error.T @ (hidden[part] * shares)
         back *= 1 - hidden[:, :WIDTH] ** 2
-        place, embed, cells = np.stack([x.T @ back for x in inputs]), by_token[:, :WIDTH].ravel(), np.arange(WIDTH)
-        for k in range(2 * SIDE):  # tokens repeat; at is fast in one dimension only
-            np.add.at(embed, (around[:, k, None] * WIDTH + cells).ravel(), (back @ self.place[k].T).ravel())
-        by_class = error.T @ hidden
-        return loss + more, [embed.reshape(SYMBOLS, WIDTH), place, back.sum(axis=0), by_class[:, :WIDTH], by_class[:, WIDTH], by_token[:, WIDTH]]
+        spread, slope = np.zeros((2, len(line), WIDTH), back.dtype)
+        spread[at] = back
+        toward = spread @ place.T
+        for k, d in enumerate(NEAR.tolist()):  # places are SIDE or more from the line's ends
+            slope[SIDE + d : len(line) - SIDE + d] += toward[SIDE : len(line) - SIDE, k * WIDTH : (k + 1) * WIDTH]
+        embed = by_token[:, :WIDTH].ravel()
+        pairs, half = np.result_type(embed, np.complex64), WIDTH // 2  # two numbers at once
+        # Tokens repeat; add.at is fast in one dimension only.
+        np.add.at(embed.view(pairs), ((line * half)[:, None] + np.arange(half)).ravel(), slope.ravel().view(pairs))
+        return loss, [embed.reshape(SYMBOLS, WIDTH), (inputs.T @ back).reshape(self.place.shape), back.sum(axis=0), by_classes[:, :WIDTH], by_classes[:, WIDTH], by_token[:, WIDTH]]
+
+
+def by_class(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the tokens by class, and in this order their classes and themselves."""
+    of = tokens // CLASS
+    order = np.argsort(of.astype(np.int16), kind="stable")  # small numbers sort faster
+    return order, of[order], tokens[order]
 
 
 def within_classes(hidden: np.ndarray, own: np.ndarray, of: np.ndarray) -> np.ndarray:
     """The logits of the tokens of each row's class; of ascends."""
     out = np.empty((len(of), CLASS), hidden.dtype)
     for c, part in parts(of):
-        np.matmul(hidden[part], own[c * CLASS : (c + 1) * CLASS].T, out=out[part])
+        np.dot(hidden[part], own[c], out=out[part])
     return out
 
 
@@ -266,16 +345,23 @@ def picked(logits: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
 
 
 def descent(logits: np.ndarray, at: np.ndarray, n: int, small: bool) -> tuple[float, np.ndarray]:
-    """Minus the sum of log softmax at the places, over n, and its derivative by the logits, in their place."""
+    """Minus the sum of log softmax at the places, over n, and what each row of logits, which are overwritten, is to
+    be multiplied with to be its derivative: the narrower products get that factor."""
     if not small:
         logits -= logits.max(axis=1, keepdims=True)
     rows = np.arange(len(at))
     own = logits[rows, at]
     total = np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)
-    loss = float((np.log(total) - own).sum()) / n
-    logits *= (1 / (n * total))[:, None]
-    logits[rows, at] -= 1 / n
-    return loss, logits
+    logits[rows, at] -= total
+    return float((np.log(total) - own).sum()) / n, (1 / (n * total))[:, None]
+
+
+def keep_freed_memory() -> None:
+    """Arrays that are freed leave their memory to the next ones, where the C library knows how; else each large
+    array gets fresh pages, which cost a third of a step. A task's end gives all back (tidied)."""
+    if set_option := getattr(ctypes.CDLL(None), "mallopt", None):
+        set_option(-3, 32 << 20)  # M_MMAP_THRESHOLD: smaller arrays come from the heap
+        set_option(-1, KEPT_BYTES)  # M_TRIM_THRESHOLD
 
 
 def parts(of: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -293,8 +379,8 @@ class Descent:
         self.squares = [np.full_like(v, 1e-6) for v in network.values()]
         self.room = [np.empty_like(v) for v in network.values()]
 
-    def step(self, around: np.ndarray, tokens: np.ndarray) -> float:
-        loss, gradients = self.network.gradient(around, tokens)
+    def step(self, line: np.ndarray, at: np.ndarray) -> float:
+        loss, gradients = self.network.gradient_at(line, at)
         for v, s, room, g in zip(self.network.values(), self.squares, self.room, gradients):
             s += np.multiply(g, g, out=room)
             np.divide(g, np.sqrt(s, out=room), out=room)
@@ -308,59 +394,49 @@ def encode(docs: DataFrame, vocabulary) -> DataFrame:
     pairs = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, symbol, within = vocabulary.value.ids(), vocabulary.value.symbol.astype(np.int16), vocabulary.value.within
+        known = vocabulary.value
+        symbol, within = known.symbol.astype(np.int16), known.within
         for batch in batches:
             for part in slices(batch):
-                n, codes, shares, ends, other, often = [], [], [], [0], [], []
-                for text in part.column(1):
-                    words = words_of(text.as_py())
-                    word = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                    n.append(len(word))
-                    codes.append(symbol[word].tobytes())
-                    shares.append(float(within[word].sum()))
-                    rare = Counter(words[i] for i in np.flatnonzero(word >= ids.size).tolist())
-                    other += rare.keys()
-                    often += rare.values()
-                    ends.append(len(other))
-                rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(other, pa.string()), pa.array(often, pa.int64())], names=["word", "k"])).cast(pairs)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(codes, pa.binary()), pa.array(shares, pa.float64()), rest], names=["doc_id", "n_tokens", "codes", "within", "rest"])
+                n, words = split_words(part.column(1))
+                ends = np.concatenate([[0], np.cumsum(n)])
+                ids, missing, others = known.ids(words)
+                shares = [float(x.sum()) for x in np.split(within[ids], ends[1:-1])]
+                codes = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(symbol[ids])])
+                # A document's other words once each, with how often it has them.
+                size = max(1, len(others.dictionary))
+                pair, often = np.unique((np.searchsorted(ends, missing, "right") - 1) * size + others.indices.to_numpy(), return_counts=True)
+                at = pa.array(np.searchsorted(pair, np.arange(len(n) + 1) * size), pa.int32())
+                other = pa.StructArray.from_arrays([others.dictionary.take(pa.array(pair % size)), pa.array(often, pa.int64())], names=["word", "k"])
+                rest = pa.ListArray.from_arrays(at, other).cast(pairs)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), codes, pa.array(shares, pa.float64()), rest], names=["doc_id", "n_tokens", "codes", "within", "rest"])
 
     return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, codes binary, within double, rest array<struct<word: string, k: bigint>>")
 
 
-def tokens_of(codes: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(codes.as_py(), np.int16).astype(np.int64)
+def tokens_of(codes: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(c.as_py(), np.int16) for c in codes]
 
 
 def one_round(encoded: DataFrame, network: Network, offset: int) -> Network:
-    """The network after a round over the positions that leave offset when divided by ROUNDS: the rounds
-    together train on every position once."""
+    """The network after a round over every ROUNDS-th run of positions, offset says which: the rounds together
+    train on every position once."""
     shared, rate = encoded.sparkSession.sparkContext.broadcast(network.packed()), RATE
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         own = Network.unpacked(shared.value.copy())
-        steps, seen, held = Descent(own, rate), 0, []
-        task = -1
-
-        def go() -> int:
-            around, tokens = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            held.clear()
-            order = np.random.default_rng(SEED).permutation(len(tokens))  # neighbours in a text go to different steps
-            for at in range(0, len(order), BATCH):
-                some = order[at : at + BATCH]
-                steps.step(around[some].astype(np.int64), tokens[some].astype(np.int64))
-            return len(order)
-
+        steps, seen, task = Descent(own, rate), 0, -1
         for batch in batches:
             task = batch.column(1)[0].as_py() if batch.num_rows else task
-            for codes in batch.column(0):
-                token = np.frombuffer(codes.as_py(), np.int16)  # a quarter of the memory
-                if len(token) > offset:
-                    held.append((windows(token)[offset::ROUNDS], token[offset::ROUNDS]))
-            if held:
-                seen += go()
+            line, at = in_runs(tokens_of(batch.column(0)), offset)
+            for k in range(0, len(at), BATCH):
+                some = at[k : k + BATCH]
+                low = some[0] - SIDE
+                steps.step(line[low : some[-1] + SIDE + 1].astype(np.int64), some - low)
+            seen += len(at)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([task % FIRST_AVERAGES], pa.int32()), pa.array([float(seen)]), pa.array([own.packed().tolist()], pa.list_(pa.float32()))], names=["lot", "n", "numbers"])
+            yield pa.RecordBatch.from_arrays([pa.array([task % FIRST_AVERAGES], pa.int32()), pa.array([float(seen)]), pa.array([own.packed().tobytes()])], names=["lot", "n", "numbers"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
@@ -368,15 +444,15 @@ def one_round(encoded: DataFrame, network: Network, offset: int) -> Network:
             for lot, n, numbers in zip(*(batch.column(k) for k in range(3))):
                 kept = sums.setdefault(lot.as_py(), [0.0, 0.0])
                 kept[0] += n.as_py()
-                kept[1] = kept[1] + n.as_py() * np.asarray(numbers.values, np.float64)
+                kept[1] = kept[1] + n.as_py() * np.frombuffer(numbers.as_py(), np.float32).astype(np.float64)
         for lot, (n, total) in sorted(sums.items()):
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n]), pa.array([(total / n).tolist()], pa.list_(pa.float32()))], names=["lot", "n", "numbers"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()])], names=["lot", "n", "numbers"])
 
-    kinds = "lot int, n double, numbers array<float>"
+    kinds = "lot int, n double, numbers binary"
     trained = map_batches(encoded.select("codes", F.spark_partition_id().alias("task")), descend, kinds)
     # Rows stream through both steps: a task holds one sum of weights for each lot it has.
-    found = trained.repartition(FIRST_AVERAGES, "lot").sortWithinPartitions("lot", "n").mapInArrow(average, kinds).coalesce(1).mapInArrow(average, kinds).collect()
-    return Network.unpacked(np.array(found[0]["numbers"], np.float32)) if found else network
+    found = trained.repartition(FIRST_AVERAGES, "lot").sortWithinPartitions("lot", "n").mapInArrow(average, kinds).repartition(1).sortWithinPartitions("n").mapInArrow(average, kinds).collect()
+    return Network.unpacked(np.frombuffer(found[0]["numbers"], np.float32)) if found else network
 
 
 @dataclass
@@ -420,17 +496,19 @@ def score_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = sc.broadcast(model.network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         network = shared.value
-        tables = network.tables()
+        ready = network.tables(), *network.with_biases()
         for batch in batches:
             for part in slices(batch, SCORED_ROWS):
-                tokens = [tokens_of(c) for c in part.column(3)]
-                every = np.concatenate(tokens)
-                around = np.concatenate([windows(t) for t in tokens])
-                logs = [network.log_probabilities(around[k : k + SCORED], every[k : k + SCORED], tables) for k in range(0, len(every), SCORED)]
+                tokens = tokens_of(part.column(3))
+                n = np.array([len(t) for t in tokens])
+                ends = np.cumsum(n)
+                line, begins = in_line(tokens)
+                line, at = line.astype(np.int64), np.repeat(begins - (ends - n), n) + np.arange(ends[-1])
+                logs = [network.log_probabilities_at(line, at[k : k + SCORED], *ready) for k in range(0, len(at), SCORED)]
                 logs = np.concatenate([[0.0], np.cumsum(np.concatenate(logs), dtype=np.float64)]) if logs else np.zeros(1)
-                ends = np.cumsum([len(t) for t in tokens])
-                score = logs[ends] - logs[ends - [len(t) for t in tokens]] + part.column(4).to_numpy()
+                score = logs[ends] - logs[ends - n] + part.column(4).to_numpy()
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(score)], names=["doc_id", "n_tokens", "at", "log_prob"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
